@@ -3,8 +3,18 @@
 from __future__ import annotations
 
 from .embeddings import op1_embedding_dedup
+from .jaccard import op6_ngram_jaccard
+from .lines import op3_line_dedup
 from .mixing import op2_mixing
+from .packing import op10_best_fit_packing
+from .quality import op5_quality
+from .simhash import op8_simhash
+from .store import op9_token_store
+from .toxicity import op7_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_mixing)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_embedding_dedup, op2_mixing, op3_line_dedup, op5_quality, op6_ngram_jaccard, op7_toxicity, op8_simhash, op9_token_store, op10_best_fit_packing)
+}
 
 ORACLES: dict[str, str] = {}

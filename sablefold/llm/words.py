@@ -76,9 +76,9 @@ def slabs(column: pa.Array) -> Iterator[Slab]:
         lo = hi
 
 
-def word_spans(slab: Slab, breaks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words in the slab and the number of words in each text."""
-    inside = ~IS_SPACE[slab.data]
+def word_spans(slab: Slab, outside: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words in the slab and the number of words in each text; ``outside`` marks the bytes between words."""
+    inside = ~outside[slab.data]
     first = np.empty(len(inside), bool)
     if len(inside):
         first[0] = True
