@@ -2,12 +2,12 @@
 
 A document is the set of its distinct five-word shingles.  Documents with the
 same set are one class.  Two classes can only link if at least ``percent`` of
-either's shingles occur in another document too, so a first exact pass counts,
-for every document, its shingles that another document has, and leaves out all
-documents below that share.  The classes that remain emit PartEnum signatures:
+either's shingles occur in another class too, so a first exact pass counts, for
+every class, its shingles that another class has, and leaves out all classes
+below that share.  The classes that remain emit PartEnum signatures:
 
-* sizes fall into bands ``[l, 2l)``; a set joins its own band and, if it could
-  link with a set of the next one, that one too;
+* sizes fall into narrow bands; a set puts out signatures for its own band and
+  for each larger one that could hold a partner;
 * in a band of sizes up to ``r`` two linked sets differ in at most
   ``k = 2r(1-t)/(1+t)`` shingles.  The domain is cut by hash into ``n1`` parts
   of ``n2`` cells; some part holds at most ``k2`` of the differences, so the
@@ -17,15 +17,17 @@ documents below that share.  The classes that remain emit PartEnum signatures:
   more than ``slack`` parts with an empty choice of cells leaves its empty
   signatures out, since a linked set still shares one that isn't empty.
 
-Classes with a common signature are compared exactly.  The first round compares
-the members of a signature with its smallest class only; a second one compares
-members that the first didn't bring into one component.  Pairs are made
+Classes with a common signature are compared exactly.  A first round, over one
+signature in ``FIRST``, compares the members of a signature with its smallest
+class only, which puts most near copies into one component.  The second round
+takes all signatures and compares all members of different components.  Pairs are made
 distinct before they are verified, and links only feed the components.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 from functools import cache
 from itertools import combinations
 
@@ -37,11 +39,14 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .session import cut, prepare, release, shuffle_partitions, written
-from .words import IS_SPACE, U, mix, shingles, slabs, sorted_sets, sums_by, word_hashes, word_spans
+from .words import U, mix, shingles, slabs, sorted_sets, sums_by, word_hashes, word_spans
 
 WIDTH, PERCENT = 5, 75
+RATIO = 1.125  # of the largest to the smallest size of a band
 CHUNK = 1 << 20  # shingles that one block of the counting pass holds
 BUCKET = 4 << 20  # shingles that one task of the counting pass reads, about
+FIRST = 8  # one signature in so many counts in the first round; the second round has them all
+FILTER_BITS = 25
 
 
 def document_sets(column: pa.Array, width: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -67,51 +72,53 @@ def set_keys(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
 
 def shared_counts(docs: DataFrame, total: int, width: int = WIDTH) -> DataFrame:
-    """doc_id, shared: how many of the document's shingles another document has too.
+    """s1, shared: how many of a set's shingles another set has too, or more (never fewer).
 
-    Tasks send blocks of hashes, one for each of ``total / BUCKET`` hash ranges.
-    A shingle that several documents of a block have is sent once, so a shingle
-    that all documents have is one entry of each block.  Rows without a
-    ``doc_id`` are left out.
+    Tasks send blocks of hashes, one for each of ``total / BUCKET`` hash ranges,
+    with every set once per block.  A shingle that several sets of a block have
+    is sent once and counted there, so a shingle that all documents have is one
+    entry of each block.  A set that several blocks hold may count such
+    shingles twice.  Rows without a ``doc_id`` are left out.
     """
     buckets = max(8, -(-total // BUCKET))
+    block_schema = pa.schema([("bucket", pa.int32()), ("sets", pa.binary()), ("counts", pa.binary()), ("low", pa.binary()), ("local", pa.binary())])
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        size = 0
+        size, known = 0, set()
 
         def flush() -> pa.RecordBatch:
-            ids, n = np.concatenate([x[0] for x in held]), np.concatenate([x[2] for x in held])
+            sets, n = np.concatenate([x[0] for x in held]), np.concatenate([x[2] for x in held])
             values = np.concatenate([x[1] for x in held])
-            owner = np.repeat(np.arange(len(ids), dtype=np.int64), n)
+            owner = np.repeat(np.arange(len(sets), dtype=np.int64), n)
             order = np.argsort(values)
-            s = values[order]
+            s, who = values[order], owner[order]
             again = np.zeros(len(s) + 1, bool)
             again[1:-1] = s[1:] == s[:-1]
             many = again[:-1] | again[1:]
-            local = np.bincount(owner[order][many], minlength=len(ids)).astype(np.uint32)
-            # A shingle of several documents here goes out under no owner, once.
+            local = np.bincount(who[many], minlength=len(sets)).astype(np.uint32)
+            # A shingle of several sets here goes out under no owner, once.
             sent = ~again[:-1]
-            who = np.where(many, len(ids), owner[order])[sent]
-            s = s[sent]
-            part = ((s >> U(40)).astype(np.uint64) * U(buckets) >> U(24)).astype(np.int64)
-            by = np.lexsort((who, part)) if len(s) else np.empty(0, np.int64)
+            s, who = s[sent], np.where(many, len(sets), who)[sent]
+            part = ((s >> U(40)) * U(buckets) >> U(24)).astype(np.int64)
+            by = np.argsort(part * (len(sets) + 1) + who)
             s, who, part = s[by], who[by], part[by]
+            low = (s & U((1 << 40) - 1)).astype("<u8")[:, None].view(np.uint8)[:, :5]
             edges = np.searchsorted(part, np.arange(buckets + 1))
-            rows = []
-            for b in range(buckets):
-                i, j = edges[b], edges[b + 1]
-                if i < j or b == 0:
-                    low = (s[i:j] & U((1 << 40) - 1)).astype("<u8")[:, None].view(np.uint8)[:, :5].tobytes()
-                    rows.append((b, ids.tobytes(), np.bincount(who[i:j], minlength=len(ids) + 1).astype(np.uint32).tobytes(), low, local.tobytes() if b == 0 else b"", (s[i:j] >> U(40)).astype("<u4").tobytes() if buckets < 64 else (s[i:j] >> U(40)).astype("<u4").tobytes()))
-            held.clear()
-            return pa.RecordBatch.from_pylist([dict(zip(("bucket", "ids", "counts", "low", "local"), r[:5])) for r in rows], schema=pa.schema([("bucket", pa.int32()), ("ids", pa.binary()), ("counts", pa.binary()), ("low", pa.binary()), ("local", pa.binary())]))
+            rows = [
+                {"bucket": b, "sets": sets.tobytes(), "counts": np.bincount(who[i:j], minlength=len(sets) + 1).astype(np.uint32).tobytes(), "low": low[i:j].tobytes(), "local": local.tobytes() if b == 0 else b""}
+                for b, (i, j) in enumerate(zip(edges[:-1], edges[1:]))
+                if i < j or b == 0
+            ]
+            held.clear(), known.clear()
+            return pa.RecordBatch.from_pylist(rows, schema=block_schema)
 
         for b in batches:
-            ids = b.column(0).to_numpy(zero_copy_only=False)
-            for lo, hi, values, n in document_sets(b.column(1), width):
-                held.append((ids[lo:hi].astype(np.int64), values, n))
-                size += len(values)
+            for _, _, values, n in document_sets(b.column(1), width):
+                names = sums_by(mix(values, 1), n).view(np.int64)
+                fresh = np.array([k > 0 and not (x in known or known.add(x)) for x, k in zip(names.tolist(), n.tolist())], bool)
+                held.append((names[fresh], values[np.repeat(fresh, n)], n[fresh]))
+                size += int(n[fresh].sum())
                 if size >= CHUNK:
                     yield flush()
                     size = 0
@@ -119,91 +126,117 @@ def shared_counts(docs: DataFrame, total: int, width: int = WIDTH) -> DataFrame:
             yield flush()
 
     def count(block: pd.DataFrame) -> pd.DataFrame:
-        ids, owners, hashes, out_ids, out_n = [], [], [], [], []
-        base = 0
-        for doc, n, low, local in zip(block["ids"], block["counts"], block["low"], block["local"]):
-            doc, n = np.frombuffer(doc, np.int64), np.frombuffer(n, np.uint32)
+        sets, owners, hashes, local = [], [], [], []
+        for names, n, low, own in zip(block["sets"], block["counts"], block["low"], block["local"]):
+            names, n = np.frombuffer(names, np.int64), np.frombuffer(n, np.uint32)
             wide = np.zeros((len(low) // 5, 8), np.uint8)
             wide[:, :5] = np.frombuffer(low, np.uint8).reshape(-1, 5)
             hashes.append(wide.view("<u8").ravel())
             owner = np.repeat(np.arange(len(n), dtype=np.int64), n)
-            owners.append(np.where(owner == len(doc), -1, owner + base))
-            ids.append(doc)
-            base += len(doc)
-            if local:
-                out_ids.append(doc)
-                out_n.append(np.frombuffer(local, np.uint32).astype(np.int64))
-        ids, owners, hashes = np.concatenate(ids), np.concatenate(owners), np.concatenate(hashes)
-        order = np.argsort(hashes)
-        s = hashes[order]
-        again = np.zeros(len(s) + 1, bool)
-        again[1:-1] = s[1:] == s[:-1]
-        who = owners[order][again[:-1] | again[1:]]
-        found = np.bincount(who[who >= 0], minlength=base)
-        out_ids.append(ids)
-        out_n.append(found)
-        r = pd.DataFrame({"doc_id": np.concatenate(out_ids), "n": np.concatenate(out_n)})
-        return r[r["n"] > 0]
-
-    sent = docs.where("doc_id is not null").mapInArrow(blocks, "bucket int, ids binary, counts binary, low binary, local binary")
-    return sent.groupBy("bucket").applyInPandas(count, "doc_id long, n long").groupBy("doc_id").agg(F.sum("n").alias("shared"))
+            owners.append(np.where(owner == len(names), -1, owner + sum(map(len, sets))))
+            sets.append(names)
+            if own:
+                local.append(pd.DataFrame({"s1": names, "n": np.frombuffer(own, np.uint32).astype(np.int64)}))
+        names, owners, hashes = np.concatenate(sets), np.concatenate(owners), np.concatenate(hashes)
+        uniq, code = np.unique(names, return_inverse=True)
+        code = np.append(code, len(uniq))[owners]  # an entry without owner (-1) is a set unlike all others
+        order = np.lexsort((code, hashes))
+        s, c = hashes[order], code[order]
+        first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.empty(0, np.int64)
+        last = np.append(first[1:], len(s)) - 1
+        # Shared: the smallest and the largest set of the run differ, or the run has entries without an owner.
+        mixed = (c[first] != c[last]) | (c[last] == len(uniq))
+        run = np.repeat(mixed, last - first + 1)
+        once = np.ones(len(s), bool)
+        once[1:] = (s[1:] != s[:-1]) | (c[1:] != c[:-1])
+        found = np.bincount(c[run & once], minlength=len(uniq) + 1)[:-1]
+        r = pd.DataFrame({"s1": uniq, "n": found}).assign(local=False)
+        r = pd.concat([r, *(x.assign(local=True) for x in local)])
+        return r[r["n"] > 0].groupby(["s1", "local"], as_index=False)["n"].max()
+
+    sent = docs.where("doc_id is not null").mapInArrow(blocks, "bucket int, sets binary, counts binary, low binary, local binary")
+    counted = sent.groupBy("bucket").applyInPandas(count, "s1 long, local boolean, n long")
+    return counted.groupBy("s1").agg((F.coalesce(F.sum(F.when(~F.col("local"), F.col("n"))), F.lit(0)) + F.coalesce(F.max(F.when(F.col("local"), F.col("n"))), F.lit(0))).alias("shared"))
+
+
+@cache
+def bands(upto: int) -> tuple[tuple[int, int], ...]:
+    """Smallest and largest size of each band, up to the one that holds ``upto``."""
+    out, low = [], 1
+    while not out or out[-1][1] < upto:
+        out.append((low, max(low, int(low * RATIO))))
+        low = out[-1][1] + 1
+    return tuple(out)
 
 
 @cache
-def band_plan(band: int, percent: int) -> tuple[int, int, int, int, np.ndarray]:
-    """n1, n2, k2, slack and the cell choices for sets of at most ``2^(band+1)-1`` shingles."""
-    r = 2 ** (band + 1) - 1
-    k = (2 * r * (100 - percent)) // (100 + percent)
-    k2 = 0 if k == 0 else 1
+def band_plan(largest: int, percent: int) -> tuple[int, int, int, np.ndarray]:
+    """n1, n2, slack and the cell choices for sets of at most ``largest`` shingles."""
+    k = (2 * largest * (100 - percent)) // (100 + percent)
+    k2 = min(k, 1)
     need = k // (k2 + 1) + 1
-    slack = need // 2 if need > 1 else 0
-    n2 = 1 if k == 0 else 3
+    n2 = k2 * 2 + 1
     picks = np.array([[c in chosen for chosen in combinations(range(n2), n2 - k2)] for c in range(n2)], dtype=U)
-    return need + slack, n2, k2, slack, picks
+    slack = need // 2 if need > 1 else 0
+    return need + slack, n2, slack, picks
 
 
 def signatures(values: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """All signatures of one sorted set of shingle hashes."""
     n = len(values)
-    own = n.bit_length() - 1
+    scale = bands(1 << (n * 100 // percent + 1).bit_length())
     out = []
-    for band in (own, own + 1):
-        # its partners in the next band have 2^band shingles at least
-        if band > own and n * 100 < percent * 2**band:
-            continue
-        n1, n2, _, slack, picks = band_plan(band, percent)
-        place = mix(values, 3 + band)
-        cell = (place >> U(40)).astype(np.int64) * n1 * n2 >> 24
+    for band in range(bisect_left(scale, n, key=lambda b: b[1]), len(scale)):
+        low, largest = scale[band]
+        # its partners in a later band have the band's smallest size at least
+        if low > n and n * 100 < percent * low:
+            break
+        n1, n2, slack, picks = band_plan(largest, percent)
+        cell = (mix(values, 3 + band) >> U(40)).astype(np.int64) * (n1 * n2) >> 24
         order = np.argsort(cell, kind="stable")
-        cells = cell[order]
         with np.errstate(over="ignore"):
             total = np.concatenate([np.zeros(1, U), np.cumsum(mix(values, 101)[order], dtype=U)])
-            edges = np.searchsorted(cells, np.arange(n1 * n2 + 1))
+            edges = np.searchsorted(cell[order], np.arange(n1 * n2 + 1))
             sums = (total[edges[1:]] - total[edges[:-1]]).reshape(n1, n2)
             held = np.diff(edges).reshape(n1, n2).astype(U) @ picks
-            sig = sums @ picks
-            label = (np.arange(n1, dtype=U)[:, None] * U(8) + np.arange(picks.shape[1], dtype=U)[None, :]) * U(64) + U(band)
-            sig = mix(sig + mix(label, 5))
+            label = (np.arange(n1, dtype=U)[:, None] * U(4) + np.arange(picks.shape[1], dtype=U)[None, :]) * U(1 << 12) + U(band)
+            sig = mix(sums @ picks + mix(label, 5))
         empty = held == 0
-        weak = int(empty.any(axis=1).sum())
-        out.append(sig[~empty] if weak <= slack else sig.ravel())
+        out.append(sig[~empty] if int(empty.any(axis=1).sum()) <= slack else sig.ravel())
     return np.concatenate(out)
 
 
-def _signature_rows(sets: DataFrame, percent: int) -> DataFrame:
-    """cls, comp, sig for every signature of ``sets(cls, comp, body)``."""
+def _signature_rows(sets: DataFrame, percent: int, wanted: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """cls, comp, sig for every signature of ``sets(cls, comp, body)`` that ``wanted`` lets through."""
     schema = pa.schema([("cls", pa.int64()), ("comp", pa.int64()), ("sig", pa.int64())])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cls, comp = b.column(0).to_numpy(), b.column(1).to_numpy()
             for i, body in enumerate(b.column(2)):
-                sig = signatures(body.values.to_numpy().view(U), percent).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sig), cls[i])), pa.array(np.full(len(sig), comp[i])), pa.array(sig)], schema=schema)
+                sig = signatures(body.values.to_numpy().view(U), percent)
+                sig = sig if wanted is None else sig[wanted(sig)]
+                if len(sig):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sig), cls[i])), pa.array(np.full(len(sig), comp[i])), pa.array(sig.view(np.int64))], schema=schema)
 
     return sets.select("cls", "comp", "body").mapInArrow(emit, "cls long, comp long, sig long")
 
 
+def _filter(sigs: DataFrame) -> Callable[[np.ndarray], np.ndarray]:
+    """A bit table of fixed size (4 MB) that lets all of ``sigs`` through, and others the less the fewer there are."""
+    bit = F.col("sig").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    words = sigs.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(sig & 63 as int))")).alias("bits")).toPandas()
+    table = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    table[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    sent = sigs.sparkSession.sparkContext.broadcast(table.view(U))
+
+    def wanted(sig: np.ndarray) -> np.ndarray:
+        at = sig & U((1 << FILTER_BITS) - 1)
+        return (sent.value[(at >> U(6)).astype(np.int64)] >> (at & U(63))) & U(1) == 1
+
+    return wanted
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs ``(a, b)`` of classes whose sets are similar enough."""
     a = sets.select(F.col("cls").alias("a"), F.col("body").alias("body_a"))
@@ -231,7 +264,7 @@ def jaccard_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     named = keys.where("n_shingles > 0 and doc_id is not null")
     classes = named.groupBy(*key).agg(F.min("doc_id").alias("cls"))
     shared = shared_counts(docs, total, width)
-    likely = named.join(shared, "doc_id").where(F.col("shared") * 100 >= F.col("n_shingles") * percent).select(*key).distinct()
+    likely = named.select(*key).distinct().join(shared, "s1").where(F.col("shared") * 100 >= F.col("n_shingles") * percent).select(*key)
     wanted = cut(classes.join(likely, key).select("cls", *key))
     release(spark)
 
@@ -248,20 +281,31 @@ def jaccard_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     made = texts.mapInArrow(bodies, "cls long, n_shingles long, s1 long, s2 long, body array<long>")
     sets = written(made.join(wanted, ["cls", *key], "left_semi").dropDuplicates(["cls", *key]).select("cls", F.col("cls").alias("comp"), "body"))
     release(spark)
-    # A class is named by its smallest document; two classes with one name (a repeated doc_id) are one node.
+    # Round one, over a part of the signature space: every class against the smallest that shares a signature.
     spread = sets.repartition(shuffle_partitions(spark), "cls")
-    sig = _signature_rows(spread, percent)
+    part = lambda sig: (sig >> U(7)) % U(FIRST) == 0
+    sig = _signature_rows(spread, percent, part)
     leads = sig.groupBy("sig").agg(F.min("cls").alias("a"), F.max("cls").alias("last")).where("a < last").select("sig", "a")
-    first = cut(_signature_rows(spread, percent).join(leads, "sig").where("cls > a").select("a", F.col("cls").alias("b")).distinct())
+    first = cut(_signature_rows(spread, percent, part).join(leads, "sig").where("cls > a").select("a", F.col("cls").alias("b")).distinct())
     links = cut(_verified(first, sets, percent))
     linked = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    now = spread.drop("comp").join(linked.select(F.col("node").alias("cls"), F.col("component").alias("at")), "cls", "left").select("cls", F.coalesce("at", "cls").alias("comp"), "body")
-    sig = _signature_rows(now, percent)
-    mixed = sig.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("sig")
-    rest = cut(_signature_rows(now, percent).join(mixed, "sig"))
-    left = rest.select("sig", F.col("cls").alias("a"), F.col("comp").alias("ca"))
-    right = rest.select("sig", F.col("cls").alias("b"), F.col("comp").alias("cb"))
-    second = left.join(right, "sig").where("ca < cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    release(spark)
+    # Round two, over all signatures: whatever isn't in one component yet.  Two classes are a pair; of larger
+    # groups, those with the same members count once.
+    now = written(spread.drop("comp").join(linked.select(F.col("node").alias("cls"), F.col("component").alias("at")), "cls", "left").select("cls", F.coalesce("at", "cls").alias("comp"), "body"))
+    name = F.xxhash64("cls")
+    groups = _signature_rows(now, percent).groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("cls").alias("a"), F.max("cls").alias("b"), F.bit_xor(name).alias("members")).where("lo < hi")
+    two = F.col("members") == F.xxhash64("a").bitwiseXOR(F.xxhash64("b"))
+    mixed = cut(groups.groupBy("a", "b", "members", two.alias("two")).agg(F.min("sig").alias("sig")))
+    release(spark)
+    pairs = mixed.where("two").select("a", "b")
+    large = mixed.where("not two").select("sig")
+    if large.take(1):
+        rest = cut(_signature_rows(now, percent, _filter(large)).join(large, "sig"))
+        left = rest.select("sig", F.col("cls").alias("a"), F.col("comp").alias("ca"))
+        right = rest.select("sig", F.col("cls").alias("b"), F.col("comp").alias("cb"))
+        pairs = pairs.union(left.join(right, "sig").where("ca < cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    second = cut(pairs.distinct().join(first, ["a", "b"], "left_anti"))
     links = links.union(cut(_verified(second, sets, percent)))
     linked = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     named_by = classes.join(linked.withColumnRenamed("node", "cls"), "cls", "left").select(*key, F.coalesce("component", "cls").alias("component_id"))

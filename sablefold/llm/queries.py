@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from .embeddings import op1_embedding_dedup
 from .jaccard import op6_ngram_jaccard
+from .licences import op4_license_scan
+from .licences import oracle as license_oracle
 from .lines import op3_line_dedup
 from .mixing import op2_mixing
 from .packing import op10_best_fit_packing
@@ -14,7 +16,7 @@ from .toxicity import op7_toxicity
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_embedding_dedup, op2_mixing, op3_line_dedup, op5_quality, op6_ngram_jaccard, op7_toxicity, op8_simhash, op9_token_store, op10_best_fit_packing)
+    for f in (op1_embedding_dedup, op2_mixing, op3_line_dedup, op4_license_scan, op5_quality, op6_ngram_jaccard, op7_toxicity, op8_simhash, op9_token_store, op10_best_fit_packing)
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_license_scan": license_oracle()}
