@@ -7,6 +7,7 @@ nodes never gathers its neighbours in one task.  Edges are never collected.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,3 +41,16 @@ def components(edges: DataFrame) -> DataFrame:
             break
         seen = now
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest index reachable from each of ``n`` nodes over the links ``a-b``."""
+    root = np.arange(n)
+    while True:
+        new = root.copy()
+        np.minimum.at(new, a, root[b])
+        np.minimum.at(new, b, root[a])
+        new = new[new]
+        if np.array_equal(new, root):
+            return root
+        root = new

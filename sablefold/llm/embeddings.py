@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
+from .components import components, forest
 from .session import cut, prepare
 
 NEAR = 0.95
@@ -32,19 +32,6 @@ def plan(n: int, threshold: float, miss: float, per_bucket: int = 64) -> tuple[i
     return bits, math.ceil(math.log(miss) / math.log(1 - meet))
 
 
-def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The smallest index reachable from each of ``n`` nodes over the links ``a-b``."""
-    root = np.arange(n)
-    while True:
-        new = root.copy()
-        np.minimum.at(new, a, root[b])
-        np.minimum.at(new, b, root[a])
-        new = new[new]
-        if np.array_equal(new, root):
-            return root
-        root = new
-
-
 def near_embeddings(vectors: DataFrame, threshold: float = NEAR, miss: float = 1e-5, block: int = 1024, seed: int = 29) -> DataFrame:
     """One row per row of ``vectors(vec_id, embedding)``: vec_id, n_links, component_id, kept.
 

@@ -18,10 +18,10 @@ below that share.  The classes that remain emit PartEnum signatures:
   signatures out, since a linked set still shares one that isn't empty.
 
 Classes with a common signature are compared exactly.  A first round, over one
-signature in ``FIRST``, compares the members of a signature with its smallest
-class only, which puts most near copies into one component.  The second round
-takes all signatures and compares all members of different components.  Pairs are made
-distinct before they are verified, and links only feed the components.
+signature in ``FIRST``, compares the members of a signature with one of them
+only, which puts most near copies into one component.  The second round takes
+all signatures and compares all members that are in different components: two
+as a pair, more in blocks of their cluster, without listing the pairs.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
+from .components import components, forest
 from .session import cut, prepare, release, shuffle_partitions, written
 from .words import U, mix, shingles, slabs, sorted_sets, sums_by, word_hashes, word_spans
 
@@ -47,6 +47,7 @@ CHUNK = 1 << 20  # shingles that one block of the counting pass holds
 BUCKET = 4 << 20  # shingles that one task of the counting pass reads, about
 FIRST = 8  # one signature in so many counts in the first round; the second round has them all
 FILTER_BITS = 25
+BLOCK = 512  # classes of a cluster that meet in one task with as many others
 
 
 def document_sets(column: pa.Array, width: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -177,7 +178,7 @@ def band_plan(largest: int, percent: int) -> tuple[int, int, int, np.ndarray]:
     need = k // (k2 + 1) + 1
     n2 = k2 * 2 + 1
     picks = np.array([[c in chosen for chosen in combinations(range(n2), n2 - k2)] for c in range(n2)], dtype=U)
-    slack = need // 2 if need > 1 else 0
+    slack = need // 4
     return need + slack, n2, slack, picks
 
 
@@ -247,6 +248,66 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return sized.where(both * 100 >= (size - both) * percent).select("a", "b")
 
 
+def _cluster_links(members: DataFrame, percent: int) -> DataFrame:
+    """``members(cluster, cls, comp, body)`` -> (a, b): links that tie together all linked classes of a cluster.
+
+    A cluster is cut into blocks of about ``BLOCK`` classes, large components
+    into blocks of their own, and each pair of blocks that holds more than one
+    component is a task that compares all its classes and puts out a spanning
+    forest of what links, not the links.
+    """
+    comps = members.groupBy("cluster", "comp").agg(F.count("*").alias("n"))
+    own = F.col("n") * 2 >= BLOCK
+    comps = comps.withColumn("pool", F.when(own, F.col("comp")).otherwise(F.lit(-1)))
+    pools = comps.groupBy("cluster", "pool").agg(F.sum("n").alias("n"))
+    blocks = pools.select("cluster", "pool", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / BLOCK) - 1)).alias("k"), F.ceil(F.col("n") / BLOCK).alias("of"))
+    left = blocks.select("cluster", F.struct("pool", "k").alias("lo"))
+    right = blocks.select("cluster", F.struct("pool", "k").alias("hi"))
+    pairs = left.join(right, "cluster").where("lo <= hi and (lo.pool <> hi.pool or lo.pool = -1)").select("cluster", "lo", "hi")
+    mine = members.join(comps.select("cluster", "comp", "pool"), ["cluster", "comp"]).join(pools.select("cluster", "pool", F.ceil(F.col("n") / BLOCK).alias("of")), ["cluster", "pool"])
+    mine = mine.withColumn("block", F.struct("pool", F.pmod(F.xxhash64("cls"), F.col("of")).alias("k"))).select("cluster", "block", "cls", "comp", "body")
+    goes = pairs.select("cluster", "lo", "hi", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("block"))
+    tasks = mine.join(goes, ["cluster", "block"]).select("cluster", "lo", "hi", "cls", "comp", "body", (F.col("block") == F.col("lo")).alias("first"))
+
+    def compare(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values("cls", ignore_index=True)
+        size = b["body"].map(len).to_numpy()
+        values = np.concatenate(b["body"].to_list())
+        owner = np.repeat(np.arange(len(b)), size)
+        order = np.argsort(values, kind="stable")
+        s, o = values[order], owner[order]
+        same = np.zeros(len(s) + 1, bool)
+        same[1:-1] = s[1:] == s[:-1]
+        keep = same[1:] | same[:-1]  # shingles of one class alone are in no intersection
+        term = np.cumsum(~same[:-1][keep]) - 1
+        o = o[keep]
+        rows = np.flatnonzero(b["first"].to_numpy())
+        cols = rows if len(rows) == len(b) else np.flatnonzero(~b["first"].to_numpy())
+        at = np.full(len(b), -1)
+        at[rows] = np.arange(len(rows))
+        at2 = np.full(len(b), -1)
+        at2[cols] = np.arange(len(cols))
+        both = np.zeros((len(rows), len(cols)), np.float32)
+        for lo in range(0, int(term[-1]) + 1 if len(term) else 0, 4096):
+            i, j = np.searchsorted(term, [lo, lo + 4096])
+            t, d = term[i:j] - lo, o[i:j]
+            x, y = np.zeros((len(rows), 4096), np.float32), np.zeros((len(cols), 4096), np.float32)
+            x[at[d][at[d] >= 0], t[at[d] >= 0]] = 1
+            y[at2[d][at2[d] >= 0], t[at2[d] >= 0]] = 1
+            both += x @ y.T
+        union = size[rows][:, None] + size[cols][None, :] - both
+        p, q = np.nonzero(both * 100 >= union * percent)
+        p, q = rows[p], cols[q]
+        comp = b["comp"].to_numpy()
+        p, q = p[comp[p] != comp[q]], q[comp[p] != comp[q]]
+        root = forest(len(b), p, q)
+        ids = b["cls"].to_numpy()
+        moved = root != np.arange(len(b))
+        return pd.DataFrame({"a": ids[root[moved]], "b": ids[moved]})
+
+    return tasks.groupBy("cluster", "lo", "hi").applyInPandas(compare, "a long, b long")
+
+
 def jaccard_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: doc_id, n_shingles, component_id.
 
@@ -281,32 +342,34 @@ def jaccard_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     made = texts.mapInArrow(bodies, "cls long, n_shingles long, s1 long, s2 long, body array<long>")
     sets = written(made.join(wanted, ["cls", *key], "left_semi").dropDuplicates(["cls", *key]).select("cls", F.col("cls").alias("comp"), "body"))
     release(spark)
-    # Round one, over a part of the signature space: every class against the smallest that shares a signature.
+    # Round one, over a part of the signature space.  The class that shares most leads its groups: the text that
+    # the others were copied from shares more with each copy than they with each other.
     spread = sets.repartition(shuffle_partitions(spark), "cls")
     part = lambda sig: (sig >> U(7)) % U(FIRST) == 0
-    sig = _signature_rows(spread, percent, part)
-    leads = sig.groupBy("sig").agg(F.min("cls").alias("a"), F.max("cls").alias("last")).where("a < last").select("sig", "a")
-    first = cut(_signature_rows(spread, percent, part).join(leads, "sig").where("cls > a").select("a", F.col("cls").alias("b")).distinct())
+    sizes = _signature_rows(spread, percent, part).groupBy("sig").agg(F.count("*").alias("n")).where("n > 1")
+    met = cut(_signature_rows(spread, percent, part).join(sizes, "sig").select("sig", "cls", "n"))
+    share = met.groupBy("cls").agg(F.sum("n").alias("share"))
+    leads = met.join(share, "cls").groupBy("sig").agg(F.max(F.struct("share", (-F.col("cls")).alias("low"))).alias("top")).select("sig", (-F.col("top.low")).alias("lead"))
+    first = cut(met.join(leads, "sig").where("cls <> lead").select(F.least("cls", "lead").alias("a"), F.greatest("cls", "lead").alias("b")).distinct())
     links = cut(_verified(first, sets, percent))
     linked = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    del sizes, met, share, leads
     release(spark)
-    # Round two, over all signatures: whatever isn't in one component yet.  Two classes are a pair; of larger
-    # groups, those with the same members count once.
+    # Round two, over all signatures: whatever isn't in one component yet.  Two classes are a pair; groups of more
+    # put their members into one cluster.
     now = written(spread.drop("comp").join(linked.select(F.col("node").alias("cls"), F.col("component").alias("at")), "cls", "left").select("cls", F.coalesce("at", "cls").alias("comp"), "body"))
-    name = F.xxhash64("cls")
-    groups = _signature_rows(now, percent).groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("cls").alias("a"), F.max("cls").alias("b"), F.bit_xor(name).alias("members")).where("lo < hi")
+    groups = _signature_rows(now, percent).groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("cls").alias("a"), F.max("cls").alias("b"), F.bit_xor(F.xxhash64("cls")).alias("members")).where("lo < hi")
     two = F.col("members") == F.xxhash64("a").bitwiseXOR(F.xxhash64("b"))
     mixed = cut(groups.groupBy("a", "b", "members", two.alias("two")).agg(F.min("sig").alias("sig")))
+    del groups
     release(spark)
-    pairs = mixed.where("two").select("a", "b")
-    large = mixed.where("not two").select("sig")
-    if large.take(1):
-        rest = cut(_signature_rows(now, percent, _filter(large)).join(large, "sig"))
-        left = rest.select("sig", F.col("cls").alias("a"), F.col("comp").alias("ca"))
-        right = rest.select("sig", F.col("cls").alias("b"), F.col("comp").alias("cb"))
-        pairs = pairs.union(left.join(right, "sig").where("ca < cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-    second = cut(pairs.distinct().join(first, ["a", "b"], "left_anti"))
+    second = mixed.where("two").select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
     links = links.union(cut(_verified(second, sets, percent)))
+    large = mixed.where("not two").select("sig", "a")
+    if large.take(1):
+        edges = cut(_signature_rows(now, percent, _filter(large)).join(large, "sig").where("cls <> a").select(F.col("a").alias("u"), F.col("cls").alias("v")).distinct())
+        clusters = components(edges).withColumnRenamed("component", "cluster")
+        links = links.union(cut(_cluster_links(now.join(clusters.withColumnRenamed("node", "cls"), "cls"), percent)))
     linked = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     named_by = classes.join(linked.withColumnRenamed("node", "cls"), "cls", "left").select(*key, F.coalesce("component", "cls").alias("component_id"))
     rows = keys.join(named_by, key, "left")
