@@ -42,7 +42,7 @@ def addresses(lines: DataFrame, countries: list[str] = COUNTRIES) -> DataFrame:
     text = F.col("line_text")
     order = [*KEYS, "reading_order"]
     place = F.col("reading_order")
-    country = F.lower(F.rtrim(F.lit(",."), F.trim(text))).isin(countries)
+    country = F.lower(F.rtrim(F.trim(text), F.lit(",."))).isin(countries)
     next_ = lines.where(text.rlike(CITY) | country).select(*KEYS, (place - 1).alias("reading_order"), text.alias("second"), F.col("bbox").alias("box2"), F.col("confidence").alias("conf2"))
     label = lines.where(text.rlike(ADDRESS)).select(*KEYS, (place + 1).alias("reading_order"), F.lit(True).alias("labelled"))
     street = lines.where(text.rlike(STREET)).select(*order)
@@ -96,7 +96,7 @@ def key_blocks(lines: DataFrame) -> DataFrame:
 
 def bare(word: Column) -> Column:
     """A word without the punctuation around it."""
-    return F.trim(F.lit(PUNCTUATION), word)
+    return F.trim(word, F.lit(PUNCTUATION))
 
 
 def full_names(lines: DataFrame, given: list[str] = GIVEN, family: list[str] = FAMILY, stop: list[str] = STOP) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +18,8 @@ from ..operators.words import FAMILY, GIVEN
 from ..sources.text import page_sizes, text_lines
 from .policy import Policy, custom, default_policy
 
+KEPT = StorageLevel.MEMORY_AND_DISK
+
 
 @dataclass
 class Models:
@@ -71,8 +74,14 @@ def raw_findings(lines: DataFrame, policy: Policy, models: Models | None = None,
 
 
 def kept_findings(lines: DataFrame, pages: DataFrame, policy: Policy, models: Models | None = None, images: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Merged and guarded findings, and those of them that reach the policy's thresholds."""
-    guarded = guard_oversized(merge(raw_findings(lines, policy, models, images)), pages)
+    """Merged and guarded findings, and those of them that reach the policy's thresholds.
+
+    Findings are few beside the text they come from and are used several times
+    from here on, so they are kept, in memory or on disk, instead of the text
+    being scanned again; what a lost executor held is computed again.
+    """
+    raw = raw_findings(lines, policy, models, images).persist(KEPT)
+    guarded = guard_oversized(merge(raw), pages).persist(KEPT)
     return guarded, apply_thresholds(guarded, policy.ranks())
 
 
