@@ -41,14 +41,14 @@ def pieces(docs: DataFrame, size: int = SIZE, vocabulary: str | None = None, end
         tail = np.array([end], "<u4").tobytes()
         for b in batches:
             ids = b.column(0).to_pylist()
-            for lo in range(0, len(ids), 200):
+            for lo, hi, flat, edges in encoder.column(b.column(1)):
                 rows = []
-                for d, raw in zip(ids[lo : lo + 200], encoder.ids(b.column(1).slice(lo, 200).to_pylist())):
-                    raw += tail
-                    n = len(raw) // 4
+                for d, i, j in zip(ids[lo:hi], edges[:-1].tolist(), edges[1:].tolist()):
+                    raw = flat[i:j].astype("<u4", copy=False).tobytes() + tail
+                    n = j - i + 1
                     first = n % size or size
-                    edges = [0, *range(first, n + 1, size)]
-                    rows += [(d, i, s, e - s, zlib.crc32(raw[4 * s : 4 * e])) for i, (s, e) in enumerate(zip(edges, edges[1:]))]
+                    cuts = [0, *range(first, n + 1, size)]
+                    rows += [(d, k, s, e - s, zlib.crc32(raw[4 * s : 4 * e])) for k, (s, e) in enumerate(zip(cuts, cuts[1:]))]
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), schema)], schema=schema)
 
     return docs.select("doc_id", "text").mapInArrow(cut_up, "doc_id long, piece int, start long, length long, ids_crc32 long")

@@ -103,10 +103,10 @@ def write_store(docs: DataFrame, path: str, vocabulary: str | None = None, end:
         seen: set[bytes] = set()
         for b in batches:
             ids = b.column(0).to_pylist()
-            for lo in range(0, len(ids), 200):
+            for lo, hi, flat, edges in encoder.column(b.column(1)):
                 keys, chunk, doc, n, names, data = [], [], [], [], [], []
-                for d, raw in zip(ids[lo : lo + 200], encoder.ids(b.column(1).slice(lo, 200).to_pylist())):
-                    raw += tail
+                for d, i, j in zip(ids[lo:hi], edges[:-1].tolist(), edges[1:].tolist()):
+                    raw = flat[i:j].astype("<u4", copy=False).tobytes() + tail
                     own, start = [], 0
                     for e in cut_points(np.frombuffer(raw, "<u4")):
                         part = raw[4 * start : 4 * e]

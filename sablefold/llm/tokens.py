@@ -1,25 +1,37 @@
 """Encoding whole texts with a byte-level BPE tokenizer file.
 
 Byte-level BPE works on pieces that its pattern cuts: a word takes one leading
-space, and white space otherwise stands alone.  In a text without two white
-space characters in a row, every ``" word"`` is a run of whole pieces, so its
-ids don't depend on what surrounds it.  Ids of such words are kept in bounded
-tables per worker; words that aren't there go to the tokenizer together.  Other
-texts go to the tokenizer whole.
+space, other white space stands alone, and letters with marks behind them are
+two pieces.  In a text whose words are parted by single spaces and line feeds,
+a word's ids therefore depend on the word and on what parts it from the one
+before, no more.  Words are found and hashed (64 bits) by array operations, each
+distinct one is encoded once and kept in a table of bounded size per worker, and
+a text's ids are gathered from the table.  Other texts are encoded whole.
 """
 
 from __future__ import annotations
 
 import os
-import re
 import sys
 import types
-from array import array
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+
+from .words import U, mix, slabs, word_hashes, word_spans
 
 VOCABULARY = "byte_bpe_50k.json"
-KEEP = 600_000  # words in a table; a full table is emptied
-#: White space other than a plain space or line feed, repeated white space, and the start of a special token's name.
-_ODD = re.compile("\\s\\s|[\\t\\v\\f\\r\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]|<\\|")
+KEEP = 3_000_000  # words that a worker's table keeps
+_MARK = np.array([32 < b < 127 and not chr(b).isalnum() for b in range(256)])
+_LETTER = np.array([b < 128 and chr(b).isalpha() for b in range(256)])
+_CASED = mix(np.arange(1, 257, dtype=U), 13)
+_PARTS = np.zeros(256, bool)
+_PARTS[[10, 32]] = True
+#: Bytes of which a text is looked at more closely: other white space, and first bytes of wide white space.
+_LOOK = np.zeros(256, bool)
+_LOOK[[9, 11, 12, 13, 0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3, ord("<")]] = True
+START, SPACED, FED = range(3)  # what stands before a word
 
 
 def default_vocabulary() -> str:
@@ -29,17 +41,40 @@ def default_vocabulary() -> str:
     return str(public_tokenizers.path(VOCABULARY))
 
 
+def _apart(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lead: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of letters with marks behind them as two words; letters are those of ASCII and Latin-1."""
+    if not len(starts):
+        return starts, ends, lead, counts
+    here = np.arange(len(data))
+    body = np.maximum.accumulate(np.where(_MARK[data], -1, here))[ends - 1] + 1  # where the marks at the end begin
+    letter = _LETTER[data]
+    wide = np.flatnonzero(data[:-1] == 0xC3)
+    wide = wide[(data[wide + 1] != 0x97) & (data[wide + 1] != 0xB7)]  # these two are signs
+    letter[wide] = letter[wide + 1] = True
+    others = np.concatenate([[0], np.cumsum(~letter)])
+    body = np.maximum(body, starts)
+    two = (body > starts) & (body < ends) & (others[body] == others[starts])
+    size = 1 + two
+    spot = np.cumsum(size) - size
+    out = [np.repeat(a, size) for a in (starts, ends, lead)]
+    out[1][spot[two]] = body[two]
+    out[0][spot[two] + 1] = body[two]
+    out[2][spot[two] + 1] = START
+    total = np.concatenate([[0], np.cumsum(size)])
+    edges = np.concatenate([[0], np.cumsum(counts)])
+    return *out, total[edges[1:]] - total[edges[:-1]]
+
+
 class Encoder:
-    """``ids(texts)`` gives each text's ids as little-endian unsigned 32-bit bytes; null is an empty text."""
+    """Ids of texts as the tokenizer gives them without special tokens; null is an empty text."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        feed = self._encode(["\n"])[0]
-        self.feed = feed[0] if len(feed) == 1 else None
-        self.feed_bytes = array("I", feed).tobytes()
-        self.tables: dict[str, dict[str, bytes]] = {"": {}, " ": {}}
+        (self.feed,) = self._encode(["\n"])[0]
+        self.keys, self.at, self.n = np.empty(0, U), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.flat = np.empty(0, np.uint32)
 
     @staticmethod
     def shared(path: str | None = None) -> Encoder:
@@ -54,52 +89,86 @@ class Encoder:
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, lead: str, words: set[str]) -> None:
-        """Adds the ids of ``lead + word``; many words are encoded in one text, each on a line of its own."""
-        table = self.tables[lead]
-        if len(table) + len(words) > KEEP:
-            table.clear()
-        if "" in words:
-            table[""] = array("I", self._encode([lead])[0] if lead else []).tobytes()
-        words = [w for w in words if w]
+    def _words(self, lead: str, words: list[str]) -> list[bytes]:
+        """Ids of ``lead + word``: many words are encoded in one text, each on a line of its own."""
+        out: list[bytes] = []
         for i in range(0, len(words), 500):
             some = words[i : i + 500]
-            ids = self._encode(["\n".join([lead + w for w in some])])[0]
-            lines, line = [], array("I")
-            for x in ids:
-                if x == self.feed:
-                    lines.append(line.tobytes())
-                    line = array("I")
-                else:
-                    line.append(x)
-            lines.append(line.tobytes())
-            if len(lines) != len(some):
-                lines = [array("I", x).tobytes() for x in self._encode([lead + w for w in some])]
-            table.update(zip(some, lines))
-
-    def ids(self, texts: list[str | None]) -> list[bytes]:
-        out: list[bytes] = [b""] * len(texts)
-        whole = [i for i, t in enumerate(texts) if t and _ODD.search(t)]
-        for i, ids in zip(whole, self._encode([texts[i] for i in whole])):
-            out[i] = array("I", ids).tobytes()
-        skip, group, held = set(whole), [], 0
-        for i, t in enumerate(texts):
-            if t and i not in skip:
-                group.append((i, [line.split(" ") for line in t.split("\n")]))
-                held += len(t)
-                if held > 2_000_000:
-                    self._finish(group, out)
-                    group, held = [], 0
-        self._finish(group, out)
+            ids = np.array(self._encode(["\n".join([lead + w for w in some])])[0], np.uint32)
+            ends = np.append(np.flatnonzero(ids == self.feed), len(ids))
+            if len(ends) == len(some):
+                raw = ids.tobytes()
+                out += [raw[4 * a : 4 * b] for a, b in zip([0, *(ends[:-1] + 1).tolist()], ends.tolist())]
+            else:
+                out += [np.array(x, np.uint32).tobytes() for x in self._encode([lead + w for w in some])]
         return out
 
-    def _finish(self, group: list[tuple[int, list[list[str]]]], out: list[bytes]) -> None:
-        bare, spaced = self.tables[""], self.tables[" "]
-        heads = {line[0] for _, lines in group for line in lines}
-        words = set().union(*[line[1:] for _, lines in group for line in lines])
-        for lead, table, need in (("", bare, heads), (" ", spaced, words)):
-            if new := need.difference(table):
-                self._learn(lead, need if len(table) + len(new) > KEEP else new)
-        get = spaced.__getitem__
-        for i, lines in group:
-            out[i] = self.feed_bytes.join([bare[line[0]] + b"".join(map(get, line[1:])) for line in lines])
+    def column(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """For texts ``lo:hi`` of the column: all their ids, and where each text's begin and end in them."""
+        for slab in slabs(texts):
+            n = slab.hi - slab.lo
+            starts, ends, counts = word_spans(slab, _PARTS)
+            whole = self._whole(slab)
+            if whole:
+                odd = np.zeros(n, bool)
+                odd[list(whole)] = True
+                fast = ~np.repeat(odd, counts)
+                starts, ends, counts = starts[fast], ends[fast], np.where(odd, 0, counts)
+            lead = np.where(slab.data[np.maximum(starts - 1, 0)] == 32, SPACED, FED)
+            lead[starts == np.repeat(slab.offsets[:-1], counts)] = START
+            starts, ends, lead, counts = _apart(slab.data, starts, ends, lead, counts)
+            at, size, flat = self._lookup(slab.data, mix(word_hashes(slab, starts, ends, _CASED) + lead.astype(U), 5), starts, ends, lead)
+            last = np.concatenate([[0], np.cumsum(size)])
+            ids = flat[np.repeat(at - last[:-1], size) + np.arange(last[-1])]
+            edges = last[np.concatenate([[0], np.cumsum(counts)])]
+            if whole:
+                parts = [whole[i] if i in whole else ids[edges[i] : edges[i + 1]] for i in range(n)]
+                ids, edges = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+            yield slab.lo, slab.hi, ids, edges
+
+    def _whole(self, slab) -> dict[int, np.ndarray]:
+        """Ids of the texts whose words aren't parted by single spaces and line feeds."""
+        data, offsets = slab.data, slab.offsets
+        if not len(data):
+            return {}
+        parts = _PARTS[data]
+        twice = np.flatnonzero(parts[1:] & parts[:-1])
+        of = lambda i: np.searchsorted(offsets, i, "right") - 1
+        some = of(twice)
+        odd = set(some[of(twice + 1) == some].tolist())
+        full = np.flatnonzero(np.diff(offsets) > 0)
+        odd.update(full[parts[offsets[1:][full] - 1]].tolist())
+        look = set(of(np.flatnonzero(_LOOK[data])).tolist()) - odd
+        text = {i: data[offsets[i] : offsets[i + 1]].tobytes().decode() for i in odd | look}
+        odd.update(i for i in look if "<|" in text[i] or len(text[i].split()) != text[i].count(" ") + text[i].count("\n") + 1 - (text[i][0] in " \n"))
+        order = sorted(odd)
+        return {i: np.array(ids, np.uint32) for i, ids in zip(order, self._encode([text[i] for i in order]))}
+
+    def _lookup(self, data: np.ndarray, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray, lead: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For every word, where its ids begin in the third array, and how many they are."""
+        uniq, first, back = np.unique(keys, return_index=True, return_inverse=True)
+        spot = np.minimum(np.searchsorted(self.keys, uniq), max(0, len(self.keys) - 1))
+        have = self.keys[spot] == uniq if len(self.keys) else np.zeros(len(uniq), bool)
+        new = np.flatnonzero(~have)
+        at, size = np.empty(len(uniq), np.int64), np.empty(len(uniq), np.int64)
+        at[have], size[have] = (self.at[spot[have]], self.n[spot[have]]) if len(self.keys) else (0, 0)
+        flat = self.flat
+        if len(new):
+            some = first[new]
+            raw = data.tobytes()
+            word = [raw[a:b].decode() for a, b in zip(starts[some].tolist(), ends[some].tolist())]
+            ids = [b""] * len(new)
+            feed = np.array([self.feed], np.uint32).tobytes()
+            for kind in (START, SPACED, FED):
+                mine = np.flatnonzero(lead[some] == kind).tolist()
+                for i, x in zip(mine, self._words(" " if kind == SPACED else "", [word[i] for i in mine])):
+                    ids[i] = feed + x if kind == FED else x
+            n = np.array([len(x) // 4 for x in ids], np.int64)
+            size[new], at[new] = n, len(flat) + np.cumsum(n) - n
+            flat = np.concatenate([flat, np.frombuffer(b"".join(ids), np.uint32)])
+            if len(self.keys) + len(new) <= KEEP:  # a full table stays as it is; frequent words came early
+                where = np.searchsorted(self.keys, uniq[new])
+                self.keys, self.at, self.n = (np.insert(x, where, y) for x, y in ((self.keys, uniq[new]), (self.at, at[new]), (self.n, size[new])))
+                self.flat = flat
+        return at[back], size[back], flat
+

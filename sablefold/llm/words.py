@@ -98,13 +98,13 @@ def word_spans(slab: Slab, outside: np.ndarray = IS_SPACE) -> tuple[np.ndarray,
     return starts, ends, np.diff(edges)
 
 
-def word_hashes(slab: Slab, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of every word, from prefix sums of a polynomial over its bytes."""
+def word_hashes(slab: Slab, starts: np.ndarray, ends: np.ndarray, codes: np.ndarray = BYTE_CODE) -> np.ndarray:
+    """A 64-bit hash of every word, from prefix sums of a polynomial over its bytes' codes."""
     up, down = _power(len(slab.data) + 1)
     with np.errstate(over="ignore"):
         sums = np.empty(len(slab.data) + 1, U)
         sums[0] = 0
-        np.cumsum(BYTE_CODE[slab.data] * up[: len(slab.data)], out=sums[1:])
+        np.cumsum(codes[slab.data] * up[: len(slab.data)], out=sums[1:])
         return mix((sums[ends] - sums[starts]) * down[starts])
 
 
