@@ -163,6 +163,8 @@ def _move(spark: SparkSession, base: DataFrame, path: str) -> None:
     if source is not None and fs.exists(source):
         fs.mkdirs(target.getParent())
         fs.rename(source, target)
+    else:
+        base.drop("chunk").limit(0).write.parquet(f"{path}/chunks")
 
 
 def _roots(recipes: DataFrame) -> list:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from .words import U, mix, slabs, word_hashes, word_spans
 
 VOCABULARY = "byte_bpe_50k.json"
-KEEP = 3_000_000  # words that a worker's table keeps
+KEEP = 1_500_000  # words that a worker's table keeps
 _MARK = np.array([32 < b < 127 and not chr(b).isalnum() for b in range(256)])
 _LETTER = np.array([b < 128 and chr(b).isalpha() for b in range(256)])
 _CASED = mix(np.arange(1, 257, dtype=U), 13)
@@ -45,13 +45,14 @@ def _apart(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lead: np.ndar
     """Words of letters with marks behind them as two words; letters are those of ASCII and Latin-1."""
     if not len(starts):
         return starts, ends, lead, counts
-    here = np.arange(len(data))
-    body = np.maximum.accumulate(np.where(_MARK[data], -1, here))[ends - 1] + 1  # where the marks at the end begin
+    here = np.arange(len(data), dtype=np.int32 if len(data) < 1 << 31 else np.int64)
+    body = np.maximum.accumulate(np.where(_MARK[data], here.dtype.type(-1), here))[ends - 1] + 1  # where the marks at the end begin
     letter = _LETTER[data]
     wide = np.flatnonzero(data[:-1] == 0xC3)
     wide = wide[(data[wide + 1] != 0x97) & (data[wide + 1] != 0xB7)]  # these two are signs
     letter[wide] = letter[wide + 1] = True
-    others = np.concatenate([[0], np.cumsum(~letter)])
+    others = np.zeros(len(data) + 1, here.dtype)
+    np.cumsum(~letter, out=others[1:])
     body = np.maximum(body, starts)
     two = (body > starts) & (body < ends) & (others[body] == others[starts])
     size = 1 + two
