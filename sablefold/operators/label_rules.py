@@ -56,10 +56,6 @@ PAYMENT = pattern(r"\b(?:Paid\s+to|Pay\s+to|Payee|Beneficiary|Recipient|Receiver
 NAME_WORD, PAYMENT_REACH, NAME_WORDS = r"^[A-Z][A-Za-z'\-]+$", 96, 5
 
 
-def _kept(rule: LabelRule) -> Callable[[Column], Column]:
-    return lambda s: rule.keep(s["matched_text"])
-
-
 def label_end(text: Column, label: str) -> Column:
     """Where the first label ends, from 0; null without one."""
     at = F.regexp_instr(text, F.lit(label))
@@ -91,14 +87,11 @@ def label_findings(lines: DataFrame, rules: list[LabelRule]) -> DataFrame:
     from_ = F.when(own, F.col("label_end") - 1).otherwise(F.lit(0))
     stand_in = F.when(F.substring(text, F.col("label_end"), F.lit(1)).rlike(r"(?U)\w"), "ä").otherwise("|")
     rest = F.when(own, F.concat(stand_in, F.substring(text, F.col("label_end") + 1, F.length(text)))).otherwise(text)
-    rows = None
-    for i, r in enumerate(rules):
-        mine = pairs.where(F.col("rule") == i).select("*", from_.alias("from_"), rest.alias("rest"))
-        mine = mine.select("*", found(F.col("rest"), r.value).alias("_m"), between(F.col("rest"), r.value).alias("_g"))
-        spans = F.transform("_m", lambda v, k: F.struct(v.alias("matched_text"), (starts(F.col("_m"), F.col("_g"), k) + F.col("from_")).alias("char_start")))
-        good = F.filter(spans, _kept(r))
-        mine = mine.withColumn("span", F.get(good, F.lit(0))).where("span is not null").drop("_m", "_g", "rest", "from_")
-        rows = mine if rows is None else rows.unionByName(mine)
+    rule = F.col("rule")
+    found_ = pairs.select("*", from_.alias("from_"), rest.alias("rest")).select("*", choose(lambda r: found(F.col("rest"), r.value), rule).alias("_m"), choose(lambda r: between(F.col("rest"), r.value), rule).alias("_g")).where(F.size("_m") > 0)
+    spans = F.transform("_m", lambda v, k: F.struct(v.alias("matched_text"), (starts(F.col("_m"), F.col("_g"), k) + F.col("from_")).alias("char_start")))
+    good = F.filter(spans, lambda s: choose(lambda r: r.keep(s["matched_text"]), rule))
+    rows = found_.withColumn("span", F.get(good, F.lit(0))).where("span is not null")
     hits = rows.select(*KEYS, "label_line", "rule", *[c for c in lines.columns if c not in KEYS], "span.*")
     once = choose(lambda r: F.lit(r.once), F.col("rule"))
     per_label = F.when(once, F.lit(-1)).otherwise(F.col("line_no"))
