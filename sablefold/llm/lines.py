@@ -21,23 +21,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .session import cut, release, written
+from .session import release, shuffle_partitions, written
 
 MIN_WORDS, NEAR_WORDS = 3, 10
+KEY_BITS = 20
 
 
 def form(line: Column) -> Column:
-    return F.trim(F.lower(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " ")))
+    """Lower case, words parted by one space.  Most lines are already, and only the others are rewritten."""
+    odd = line.contains("  ") | line.rlike(r"[\x09-\x0D]")
+    return F.lower(F.trim(F.when(odd, F.regexp_replace(line, r"[\x20\x09-\x0D]+", " ")).otherwise(line)))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
+    """ord, tie, line_no, norm, n (words), h1 and h2 (which name the form) of all lines with a word."""
     d = docs.select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("ord"), F.xxhash64("text").alias("tie"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return d.select("ord", "tie", "line_no", form(F.col("line")).alias("norm")).where("norm <> ''")
-
-
-def _keyed(lines: DataFrame) -> DataFrame:
-    w = lines.withColumn("w", F.split("norm", " ")).withColumn("n", F.size("w"))
-    return w.withColumn("h1", F.xxhash64("norm")).withColumn("h2", F.xxhash64(F.lit(11), "norm"))
+    d = d.select("ord", "tie", "line_no", form(F.col("line")).alias("norm")).where("norm <> ''")
+    # Characters that aren't spaces, and spaces: words are one more than these.
+    n = F.length("norm") - F.length(F.replace(F.col("norm"), F.lit(" "), F.lit(""))) + 1
+    return d.select("*", n.alias("n"), F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(11), "norm").alias("h2"))
 
 
 def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS) -> DataFrame:
@@ -46,46 +48,71 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int
     ``ord`` is the doc_id (the largest long for null), ``tie`` a hash of the text.
     """
     half = near_words // 2
-    keyed = _keyed(_lines(docs)).where(F.col("n") >= min_words)
-    ends = (F.xxhash64(F.lit(1), F.slice("w", 1, half)), F.xxhash64(F.lit(2), F.slice("w", -half, half)))
-    at = F.when(F.col("n") >= near_words, ends[0]), F.when(F.col("n") >= near_words, ends[1])
-    lines = written(keyed.select("ord", "tie", "line_no", "h1", "h2", at[0].alias("head"), at[1].alias("tail")))
+    end = lambda k: F.when(F.col("n") >= near_words, F.xxhash64(F.lit(k), F.substring_index("norm", " ", k)))
+    lines = written(_lines(docs).where(F.col("n") >= min_words).select("ord", "tie", "line_no", "h1", "h2", end(half).alias("head"), end(-half).alias("tail")))
     place = F.struct("ord", "tie", "line_no")
     forms = written(lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("copies"), F.min("head").alias("head"), F.min("tail").alias("tail")))
     release(docs.sparkSession)
     # Forms that share their first or last words with another form.
     met = forms.where("head is not null").select("h1", "h2", F.explode(F.array("head", "tail")).alias("end"))
     common = met.groupBy("end").agg(F.count("*").alias("c")).where("c > 1").select("end")
-    likely = cut(met.join(common, "end").select("h1", "h2").distinct().join(forms.select("h1", "h2", "first"), ["h1", "h2"]))
-    texts = _keyed(_lines(docs)).where(F.col("n") >= near_words).select("ord", "tie", "line_no", "h1", "h2", "w", "n")
+    likely = written(met.join(common, "end").select("h1", "h2").distinct().join(forms.select("h1", "h2", "first"), ["h1", "h2"]))
+    # Their texts.  A table of at most 2^KEY_BITS parts of keys, whatever their number, goes to the scan first.
+    part = F.col("h1").bitwiseAND(F.lit((1 << KEY_BITS) - 1))
+    parts = likely.select(part.alias("part")).distinct()
+    texts = _lines(docs).where(F.col("n") >= near_words).withColumn("part", part).join(F.broadcast(parts), "part", "left_semi").select("ord", "tie", "line_no", "h1", "h2", "norm", "n")
     mine = likely.select("h1", "h2", F.col("first.ord").alias("ord"), F.col("first.tie").alias("tie"), F.col("first.line_no").alias("line_no"))
-    bodies = written(texts.join(mine, ["h1", "h2", "ord", "tie", "line_no"], "left_semi").dropDuplicates(["h1", "h2"]).select("h1", "h2", F.struct("ord", "tie", "line_no").alias("first"), "w", "n"))
+    bodies = texts.join(mine, ["h1", "h2", "ord", "tie", "line_no"], "left_semi").dropDuplicates(["h1", "h2"])
+    bodies = written(bodies.select("h1", "h2", F.struct("ord", "tie", "line_no").alias("first"), F.split("norm", " ").alias("w"), "n"))
     release(docs.sparkSession)
-    near = cut(_near_forms(bodies))
+    near = written(_near_forms(bodies))
     gone = forms.join(near, ["h1", "h2"], "left").where("copies > 1 or near is not null").select("h1", "h2", "first", F.col("near").isNotNull().alias("near"))
     mark = (F.col("first") != place) | F.col("near")
     return lines.join(gone, ["h1", "h2"]).where(mark).select("ord", "tie", "line_no", (F.col("first") == place).alias("near"))
 
 
+def _parts(keys: DataFrame, key: str, shift: int) -> DataFrame:
+    """Which of 2^KEY_BITS parts the keys fall into: so many rows at most, whatever the number of keys."""
+    return keys.select(_part(F.col(key), shift).alias(f"part{shift}")).distinct()
+
+
+def _part(key: Column, shift: int) -> Column:
+    return F.shiftrightunsigned(key, shift).bitwiseAND(F.lit((1 << KEY_BITS) - 1))
+
+
+def _passing(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """Rows whose key may be among ``keys``; two tables of bounded size tell before anything is moved."""
+    for shift in (0, KEY_BITS):
+        rows = rows.withColumn(f"part{shift}", _part(F.col(key), shift)).join(F.broadcast(_parts(keys, key, shift)), f"part{shift}", "left_semi").drop(f"part{shift}")
+    return rows
+
+
 def _near_forms(bodies: DataFrame) -> DataFrame:
     """h1, h2, near (true) of the forms with an earlier form one word edit away."""
+    spark = bodies.sparkSession
     me = F.struct("first", "h1", "h2").alias("me")
-    w = bodies.select(me, "n", F.posexplode("w").alias("i", "word"))
+    w = bodies.select(me, "n", "w").repartition(shuffle_partitions(spark), "me").select("me", "n", F.posexplode("w").alias("i", "word"))
     here, left = F.xxhash64("word", "i"), F.xxhash64("word", F.col("i") - 1)
     span = Window.partitionBy("me").orderBy("i")
-    w = w.withColumn("before", F.coalesce(F.bit_xor(here).over(span.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    w = w.withColumn("after", F.coalesce(F.bit_xor(left).over(Window.partitionBy("me").orderBy(F.col("i").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    whole = F.when(F.col("i") == F.col("n") - 1, F.col("before").bitwiseXOR(here))
-    # One word left out (kind 0: what is left, and where), or nothing (kind 1: the form itself).
-    out = w.select("me", F.col("i").alias("at"), (F.col("n") - 1).alias("len"), F.col("before").bitwiseXOR(F.col("after")).alias("v"), "n", whole.alias("whole"))
-    out = cut(out)
-    dropped = out.select("me", "at", "len", "v")
-    full = out.where("whole is not null").select("me", F.col("n").alias("len"), F.col("whole").alias("v"))
-    earliest = dropped.groupBy("len", "v", "at").agg(F.min("me").alias("by"), F.count("*").alias("c")).where("c > 1").drop("c")
-    swaps = dropped.join(earliest, ["len", "v", "at"]).where(F.col("by") < F.col("me")).select("me", "by", F.col("at").alias("at_me"), F.col("at").alias("at_by"))
-    longer = dropped.groupBy("len", "v").agg(F.min(F.struct("me", "at")).alias("x"))
-    shorter = full.join(longer, ["len", "v"]).where(F.col("x.me") < F.col("me")).select("me", F.col("x.me").alias("by"), F.lit(-1).alias("at_me"), F.col("x.at").alias("at_by"))
-    adds = dropped.join(full.groupBy("len", "v").agg(F.min("me").alias("by")), ["len", "v"]).where(F.col("by") < F.col("me")).select("me", "by", F.col("at").alias("at_me"), F.lit(-1).alias("at_by"))
+    before = F.coalesce(F.bit_xor(here).over(span.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # All words, and without those up to this one.
+    after = F.bit_xor(left).over(span.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).bitwiseXOR(F.bit_xor(left).over(span.rowsBetween(Window.unboundedPreceding, 0)))
+    w = w.withColumn("before", before).withColumn("after", after)
+    whole = F.when(F.col("i") == F.col("n") - 1, F.xxhash64("n", F.col("before").bitwiseXOR(here)))
+    # What is left without word ``at``, and, once a form, the form itself; both with their number of words, as a key.
+    out = written(w.select("me", F.col("i").alias("at"), F.xxhash64(F.col("n") - 1, F.col("before").bitwiseXOR(F.col("after"))).alias("key"), whole.alias("whole")))
+    dropped = out.select("me", "at", "key")
+    placed = dropped.withColumn("swap", F.xxhash64("key", "at"))
+    twice = written(placed.groupBy("swap").agg(F.count("*").alias("c")).where("c > 1").select("swap"))
+    release(spark)
+    some = _passing(placed, "swap", twice)
+    earliest = some.groupBy("swap").agg(F.min("me").alias("by"), F.count("*").alias("c")).where("c > 1").drop("c")
+    swaps = some.join(earliest, "swap").where(F.col("by") < F.col("me")).select("me", "by", F.col("at").alias("at_me"), F.col("at").alias("at_by"))
+    full = out.where("whole is not null").select("me", F.col("whole").alias("key"))
+    some = _passing(dropped, "key", full)
+    longer = some.groupBy("key").agg(F.min(F.struct("me", "at")).alias("x"))
+    shorter = full.join(longer, "key").where(F.col("x.me") < F.col("me")).select("me", F.col("x.me").alias("by"), F.lit(-1).alias("at_me"), F.col("x.at").alias("at_by"))
+    adds = some.join(full.groupBy("key").agg(F.min("me").alias("by")), "key").where(F.col("by") < F.col("me")).select("me", "by", F.col("at").alias("at_me"), F.lit(-1).alias("at_by"))
     pairs = swaps.union(shorter).union(adds).groupBy("me", "by").agg(F.min(F.struct("at_me", "at_by")).alias("at"))
     pairs = pairs.select(F.col("me.h1").alias("h1"), F.col("me.h2").alias("h2"), F.col("by.h1").alias("g1"), F.col("by.h2").alias("g2"), "at.*")
     other = bodies.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("w").alias("u"))
