@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from .session import cut
 
+FEW = 200_000
+
 
 def _digest(edges: DataFrame) -> tuple[int, int]:
     row = edges.agg(F.count("*").alias("n"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0)).alias("h")).first()
@@ -30,7 +32,9 @@ def components(edges: DataFrame) -> DataFrame:
     if not seen[0]:
         return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     while True:
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        # Few edges don't need many tasks: in one partition the same steps run without an exchange.
+        e = e.coalesce(1) if seen[0] <= FEW else e
+        both = e.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
