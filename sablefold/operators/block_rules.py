@@ -107,10 +107,11 @@ def full_names(lines: DataFrame, given: list[str] = GIVEN, family: list[str] = F
     left behind.
     """
     text = F.col("line_text")
-    lists = [F.array(*map(F.lit, x)) for x in (given, family, stop, HONORIFICS)]
-    known = lambda i, w: F.array_contains(lists[i], F.lower(w))
-    gate = text.rlike(r"[A-Z][a-zA-Z'\-]+[^ A-Za-z]* +([^ A-Za-z]*[A-Z][^ a-zA-Z]* +)?[^ A-Za-z]*[A-Z][a-zA-Z'\-]+")
-    rows = lines.where(gate).select("*", F.split(text, " ").alias("_w")).select("*", F.transform("_w", bare).alias("_b"))
+    lists = (given, family, stop, HONORIFICS)
+    known = lambda i, w: F.lower(w).isin(lists[i])
+    # Few lines hold a capitalised listed name, and only these are walked.
+    rows = lines.select("*", F.split(text, " ").alias("_w")).select("*", F.transform("_w", bare).alias("_b"))
+    rows = rows.where(F.exists("_b", lambda w: w.rlike(TITLE) & (known(0, w) | known(1, w))))
     word = lambda i: F.coalesce(F.get("_b", i), F.lit(""))
     title = lambda i: word(i).rlike(TITLE) & ~known(2, word(i))
     hits = "array<struct<i:int,n:int,both:boolean>>"
@@ -127,8 +128,9 @@ def full_names(lines: DataFrame, given: list[str] = GIVEN, family: list[str] = F
 
     # Only places with a capitalised word can start a name.
     places = F.filter(F.sequence(F.lit(0), F.size("_b") - 1), lambda i: F.get("_b", i).rlike(TITLE))
-    walked = rows.select("*", F.aggregate(places, begin, step)["hits"].alias("_hits")).where(F.size("_hits") > 0)
-    out = walked.select("*", F.explode("_hits").alias("_h"))
+    walked = rows.select("*", F.aggregate(places, begin, step)["hits"].alias("_hits"))
+    # Outer, so that no filter on the result moves below it and walks every line again.
+    out = walked.select("*", F.explode_outer("_hits").alias("_h")).where("_h is not null")
     matched = F.array_join(F.slice("_w", F.col("_h.i") + 1, F.col("_h.n")), " ")
     start = F.length(F.array_join(F.slice("_w", F.lit(1), F.col("_h.i")), " ")) + F.when(F.col("_h.i") > 0, 1).otherwise(0)
     return finish(out.select(*lines.columns, matched.alias("matched_text"), start.alias("char_start"), F.when(F.col("_h.both"), HIGH).otherwise(MEDIUM).alias("rank"), F.lit("ID-001").alias("rule_id"), F.lit("IDENTITY").alias("category")))
