@@ -21,7 +21,8 @@ Classes with a common signature are compared exactly.  A first round, over one
 signature in ``FIRST``, compares the members of a signature with one of them
 only, which puts most near copies into one component.  The second round takes
 all signatures and compares all members that are in different components: two
-as a pair, more in blocks of their cluster, without listing the pairs.
+as a pair; of more, all that share a signature with the same largest component
+are a star, whose members are compared in blocks, without listing the pairs.
 """
 
 from __future__ import annotations
@@ -47,7 +48,8 @@ CHUNK = 1 << 20  # shingles that one block of the counting pass holds
 BUCKET = 4 << 20  # shingles that one task of the counting pass reads, about
 FIRST = 8  # one signature in so many counts in the first round; the second round has them all
 FILTER_BITS = 25
-BLOCK = 512  # classes of a cluster that meet in one task with as many others
+BLOCK = 512  # classes of a star that meet with as many others at a time
+PER_TASK = 3000  # classes that a task of such meetings reads, about
 
 
 def document_sets(column: pa.Array, width: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -208,19 +210,19 @@ def signatures(values: np.ndarray, percent: int = PERCENT) -> np.ndarray:
 
 
 def _signature_rows(sets: DataFrame, percent: int, wanted: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
-    """cls, comp, sig for every signature of ``sets(cls, comp, body)`` that ``wanted`` lets through."""
-    schema = pa.schema([("cls", pa.int64()), ("comp", pa.int64()), ("sig", pa.int64())])
+    """cls, comp, rank, sig for every signature of ``sets(cls, comp, rank, body)`` that ``wanted`` lets through."""
+    names = ["cls", "comp", "rank", "sig"]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cls, comp = b.column(0).to_numpy(), b.column(1).to_numpy()
-            for i, body in enumerate(b.column(2)):
+            about = [b.column(k).to_numpy() for k in range(3)]
+            for i, body in enumerate(b.column(3)):
                 sig = signatures(body.values.to_numpy().view(U), percent)
                 sig = sig if wanted is None else sig[wanted(sig)]
                 if len(sig):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sig), cls[i])), pa.array(np.full(len(sig), comp[i])), pa.array(sig.view(np.int64))], schema=schema)
+                    yield pa.RecordBatch.from_arrays([*(pa.array(np.full(len(sig), a[i])) for a in about), pa.array(sig.view(np.int64))], names=names)
 
-    return sets.select("cls", "comp", "body").mapInArrow(emit, "cls long, comp long, sig long")
+    return sets.select("cls", "comp", "rank", "body").mapInArrow(emit, "cls long, comp long, rank long, sig long")
 
 
 def _filter(sigs: DataFrame) -> Callable[[np.ndarray], np.ndarray]:
@@ -248,64 +250,68 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return sized.where(both * 100 >= (size - both) * percent).select("a", "b")
 
 
-def _cluster_links(members: DataFrame, percent: int) -> DataFrame:
-    """``members(cluster, cls, comp, body)`` -> (a, b): links that tie together all linked classes of a cluster.
+def _star_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``members(star, cls)`` -> (a, b): links that tie together all linked classes of a star.
 
-    A cluster is cut into blocks of about ``BLOCK`` classes, large components
-    into blocks of their own, and each pair of blocks that holds more than one
-    component is a task that compares all its classes and puts out a spanning
-    forest of what links, not the links.
+    A star is cut into blocks of about ``BLOCK`` classes, and each pair of
+    blocks is a piece of work that compares its classes and puts out a spanning
+    forest of what links, not the links.  A task takes many small stars.
     """
-    comps = members.groupBy("cluster", "comp").agg(F.count("*").alias("n"))
-    own = F.col("n") * 2 >= BLOCK
-    comps = comps.withColumn("pool", F.when(own, F.col("comp")).otherwise(F.lit(-1)))
-    pools = comps.groupBy("cluster", "pool").agg(F.sum("n").alias("n"))
-    blocks = pools.select("cluster", "pool", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / BLOCK) - 1)).alias("k"), F.ceil(F.col("n") / BLOCK).alias("of"))
-    left = blocks.select("cluster", F.struct("pool", "k").alias("lo"))
-    right = blocks.select("cluster", F.struct("pool", "k").alias("hi"))
-    pairs = left.join(right, "cluster").where("lo <= hi and (lo.pool <> hi.pool or lo.pool = -1)").select("cluster", "lo", "hi")
-    mine = members.join(comps.select("cluster", "comp", "pool"), ["cluster", "comp"]).join(pools.select("cluster", "pool", F.ceil(F.col("n") / BLOCK).alias("of")), ["cluster", "pool"])
-    mine = mine.withColumn("block", F.struct("pool", F.pmod(F.xxhash64("cls"), F.col("of")).alias("k"))).select("cluster", "block", "cls", "comp", "body")
-    goes = pairs.select("cluster", "lo", "hi", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("block"))
-    tasks = mine.join(goes, ["cluster", "block"]).select("cluster", "lo", "hi", "cls", "comp", "body", (F.col("block") == F.col("lo")).alias("first"))
-
-    def compare(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values("cls", ignore_index=True)
-        size = b["body"].map(len).to_numpy()
-        values = np.concatenate(b["body"].to_list())
-        owner = np.repeat(np.arange(len(b)), size)
-        order = np.argsort(values, kind="stable")
-        s, o = values[order], owner[order]
-        same = np.zeros(len(s) + 1, bool)
-        same[1:-1] = s[1:] == s[:-1]
-        keep = same[1:] | same[:-1]  # shingles of one class alone are in no intersection
-        term = np.cumsum(~same[:-1][keep]) - 1
-        o = o[keep]
-        rows = np.flatnonzero(b["first"].to_numpy())
-        cols = rows if len(rows) == len(b) else np.flatnonzero(~b["first"].to_numpy())
-        at = np.full(len(b), -1)
-        at[rows] = np.arange(len(rows))
-        at2 = np.full(len(b), -1)
-        at2[cols] = np.arange(len(cols))
-        both = np.zeros((len(rows), len(cols)), np.float32)
-        for lo in range(0, int(term[-1]) + 1 if len(term) else 0, 4096):
-            i, j = np.searchsorted(term, [lo, lo + 4096])
-            t, d = term[i:j] - lo, o[i:j]
-            x, y = np.zeros((len(rows), 4096), np.float32), np.zeros((len(cols), 4096), np.float32)
-            x[at[d][at[d] >= 0], t[at[d] >= 0]] = 1
-            y[at2[d][at2[d] >= 0], t[at2[d] >= 0]] = 1
-            both += x @ y.T
-        union = size[rows][:, None] + size[cols][None, :] - both
-        p, q = np.nonzero(both * 100 >= union * percent)
-        p, q = rows[p], cols[q]
-        comp = b["comp"].to_numpy()
-        p, q = p[comp[p] != comp[q]], q[comp[p] != comp[q]]
-        root = forest(len(b), p, q)
-        ids = b["cls"].to_numpy()
-        moved = root != np.arange(len(b))
-        return pd.DataFrame({"a": ids[root[moved]], "b": ids[moved]})
-
-    return tasks.groupBy("cluster", "lo", "hi").applyInPandas(compare, "a long, b long")
+    sizes = members.groupBy("star").agg(F.ceil(F.count("*") / BLOCK).alias("of"))
+    mine = members.join(sizes, "star").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("of")))
+    work = mine.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("of") - 1)))
+    work = work.select("cls", "star", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), (F.col("block") <= F.col("other")).alias("first"))
+    work = cut(work)
+    tasks = max(1, work.count() // PER_TASK)
+    full = work.join(sets.select("cls", "comp", "body"), "cls").withColumn("task", F.pmod(F.xxhash64("star", "lo", "hi"), F.lit(tasks)))
+
+    def compare(b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values(["star", "lo", "hi", "cls"], ignore_index=True)
+        key = b[["star", "lo", "hi"]].to_numpy()
+        edges = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1), [True]]))
+        cls, comp, first, bodies, diagonal = b["cls"].to_numpy(), b["comp"].to_numpy(), b["first"].to_numpy(), b["body"].to_list(), (key[:, 1] == key[:, 2])
+        out_a, out_b = [], []
+        for i, j in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            if j - i > 1 and (comp[i:j] != comp[i]).any():
+                rows = np.arange(j - i)
+                x, y = linked_sets(bodies[i:j], comp[i:j], rows if diagonal[i] else np.flatnonzero(first[i:j]), rows if diagonal[i] else np.flatnonzero(~first[i:j]), percent)
+                out_a.append(cls[i:j][x]), out_b.append(cls[i:j][y])
+        return pd.DataFrame({"a": np.concatenate(out_a or [np.empty(0, np.int64)]), "b": np.concatenate(out_b or [np.empty(0, np.int64)])})
+
+    return full.groupBy("task").applyInPandas(compare, "a long, b long").distinct()
+
+
+def linked_sets(bodies: list[np.ndarray], comp: np.ndarray, rows: np.ndarray, cols: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links between the sets ``rows`` and ``cols`` that are in different components."""
+    size = np.array([len(x) for x in bodies])
+    values = np.concatenate(bodies)
+    owner = np.repeat(np.arange(len(bodies)), size)
+    order = np.argsort(values, kind="stable")
+    s, o = values[order], owner[order]
+    same = np.zeros(len(s) + 1, bool)
+    same[1:-1] = s[1:] == s[:-1]
+    keep = same[1:] | same[:-1]  # shingles of one class alone are in no intersection
+    term = np.cumsum(~same[:-1][keep]) - 1
+    o = o[keep]
+    at, at2 = np.full(len(bodies), -1), np.full(len(bodies), -1)
+    at[rows], at2[cols] = np.arange(len(rows)), np.arange(len(cols))
+    both = np.zeros((len(rows), len(cols)), np.float32)
+    terms = int(term[-1]) + 1 if len(term) else 0
+    for lo in range(0, terms, 4096):
+        i, j = np.searchsorted(term, [lo, lo + 4096])
+        t, d = term[i:j] - lo, o[i:j]
+        wide = min(4096, terms - lo)
+        x, y = np.zeros((len(rows), wide), np.float32), np.zeros((len(cols), wide), np.float32)
+        x[at[d][at[d] >= 0], t[at[d] >= 0]] = 1
+        y[at2[d][at2[d] >= 0], t[at2[d] >= 0]] = 1
+        both += x @ y.T
+    union = size[rows][:, None] + size[cols][None, :] - both
+    p, q = np.nonzero(both * 100 >= union * percent)
+    p, q = rows[p], cols[q]
+    apart = comp[p] != comp[q]
+    root = forest(len(bodies), p[apart], q[apart])
+    moved = np.flatnonzero(root != np.arange(len(bodies)))
+    return root[moved], moved
 
 
 def jaccard_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -340,7 +346,7 @@ def jaccard_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
 
     texts = docs.join(wanted.select(F.col("cls").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text")
     made = texts.mapInArrow(bodies, "cls long, n_shingles long, s1 long, s2 long, body array<long>")
-    sets = written(made.join(wanted, ["cls", *key], "left_semi").dropDuplicates(["cls", *key]).select("cls", F.col("cls").alias("comp"), "body"))
+    sets = written(made.join(wanted, ["cls", *key], "left_semi").dropDuplicates(["cls", *key]).select("cls", F.col("cls").alias("comp"), F.lit(0).cast("long").alias("rank"), "body"))
     release(spark)
     # Round one, over a part of the signature space.  The class that shares most leads its groups: the text that
     # the others were copied from shares more with each copy than they with each other.
@@ -357,19 +363,21 @@ def jaccard_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     release(spark)
     # Round two, over all signatures: whatever isn't in one component yet.  Two classes are a pair; groups of more
     # put their members into one cluster.
-    now = written(spread.drop("comp").join(linked.select(F.col("node").alias("cls"), F.col("component").alias("at")), "cls", "left").select("cls", F.coalesce("at", "cls").alias("comp"), "body"))
-    groups = _signature_rows(now, percent).groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("cls").alias("a"), F.max("cls").alias("b"), F.bit_xor(F.xxhash64("cls")).alias("members")).where("lo < hi")
+    comps = linked.join(linked.groupBy("component").agg(F.count("*").alias("n")), "component")
+    # Larger components rank higher; equal ranks of two components do no harm.
+    rank = F.shiftleft(F.least("n", F.lit((1 << 18) - 1)), 44).bitwiseOR(F.shiftrightunsigned(F.xxhash64(F.coalesce("component", "cls")), 20))
+    now = written(spread.drop("comp", "rank").join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("n", F.coalesce("n", F.lit(1).cast("long"))).select("cls", F.coalesce("component", "cls").alias("comp"), rank.alias("rank"), "body"))
+    groups = _signature_rows(now, percent).groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("cls").alias("a"), F.max("cls").alias("b"), F.bit_xor(F.xxhash64("cls")).alias("members"), F.max("rank").alias("star")).where("lo < hi")
     two = F.col("members") == F.xxhash64("a").bitwiseXOR(F.xxhash64("b"))
-    mixed = cut(groups.groupBy("a", "b", "members", two.alias("two")).agg(F.min("sig").alias("sig")))
+    mixed = cut(groups.groupBy("a", "b", "members", "star", two.alias("two")).agg(F.min("sig").alias("sig")))
     del groups
     release(spark)
     second = mixed.where("two").select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
     links = links.union(cut(_verified(second, sets, percent)))
-    large = mixed.where("not two").select("sig", "a")
+    large = mixed.where("not two").select("sig", "star")
     if large.take(1):
-        edges = cut(_signature_rows(now, percent, _filter(large)).join(large, "sig").where("cls <> a").select(F.col("a").alias("u"), F.col("cls").alias("v")).distinct())
-        clusters = components(edges).withColumnRenamed("component", "cluster")
-        links = links.union(cut(_cluster_links(now.join(clusters.withColumnRenamed("node", "cls"), "cls"), percent)))
+        members = cut(_signature_rows(now, percent, _filter(large)).join(large, "sig").select("star", "cls").distinct())
+        links = links.union(cut(_star_links(members, now, percent)))
     linked = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     named_by = classes.join(linked.withColumnRenamed("node", "cls"), "cls", "left").select(*key, F.coalesce("component", "cls").alias("component_id"))
     rows = keys.join(named_by, key, "left")
