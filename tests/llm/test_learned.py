@@ -64,8 +64,8 @@ def test_marginals_are_those_of_all_labellings():
 
 def test_whole_texts_count(spark):
     """The telling word stands at the very end of a long text."""
-    rows = [("calm words here " * 5 + ("vileword" if i % 3 == 0 else "kind"), int(i % 3 == 0)) for i in range(300)]
+    rows = [("calm words here " * 5 + ("vileword" if i % 3 == 0 else "kind"), int(i % 3 == 0)) for i in range(3000)]
     weights = toxicity.train(rows)
     long = "calm words here " * 50_000
-    low, high = toxicity.score_texts(pa.array([long, long + "vileword"]), weights)
+    low, high = toxicity.score_texts(pa.array([long + "kind", long + "vileword"]), weights)
     assert low < 0.5 < high
