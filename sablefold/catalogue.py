@@ -16,7 +16,7 @@ from .functions import geometry as g
 from .functions.text import entropy, hmac64, iban_ok, luhn_ok
 from .operators import block_rules, label_rules, line_rules, redact, report
 from .operators.merge import merge
-from .operators.words import COUNTRIES, FAMILY, GIVEN, HONORIFICS, STOP
+from .operators.words import COMMON_FAMILY, COMMON_GIVEN, COUNTRIES, FAMILY, GIVEN, HONORIFICS, STOP
 from .plans.policy import Policy, RuleRef, custom, default_policy
 from .plans.scan import kept_findings, raw_findings
 from .sources.text import page_sizes, text_lines, tokens
@@ -250,7 +250,7 @@ def _in(words: list[str]) -> str:
     return "(" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + ")"
 
 
-@query(_CORPUS + f", t AS (SELECT doc_id, unnest(string_split(line, ' ')) AS token FROM lines) SELECT doc_id, token FROM t WHERE lower(token) IN {_in([*GIVEN, *FAMILY])}")
+@query(_CORPUS + f", t AS (SELECT doc_id, unnest(string_split(line, ' ')) AS token FROM lines) SELECT doc_id, token FROM t WHERE lower(token) IN {_in([*COMMON_GIVEN, *COMMON_FAMILY])}")
 def dict_semi_join(spark, sf_dir):
     words = spark.createDataFrame([(w,) for w in {*GIVEN, *FAMILY}], "word string")
     t = tokens(_labelled(spark, sf_dir))

@@ -108,23 +108,26 @@ def full_names(lines: DataFrame, given: list[str] = GIVEN, family: list[str] = F
     """
     text = F.col("line_text")
     lists = (given, family, stop, HONORIFICS)
-    known = lambda i, w: F.lower(w).isin(lists[i])
-    # Few lines hold a capitalised listed name, and only these are walked.
+    # Few lines hold a capitalised listed name, and only these are walked.  Each list stands in the plan once:
+    # ``_k`` holds, for each list, whether it has the words.
     rows = lines.select("*", F.split(text, " ").alias("_w")).select("*", F.transform("_w", bare).alias("_b"))
-    rows = rows.where(F.exists("_b", lambda w: w.rlike(TITLE) & (known(0, w) | known(1, w))))
+    rows = rows.where(F.exists("_b", lambda w: w.rlike(TITLE) & F.lower(w).isin(list({*given, *family}))))
+    listed = lambda names: F.transform("_b", lambda w: F.lower(w).isin(names))
+    rows = rows.select("*", F.array(*[listed(names) for names in lists]).alias("_k"))
+    known = lambda i, at: F.coalesce(F.get(F.col("_k")[i], at), F.lit(False))
     word = lambda i: F.coalesce(F.get("_b", i), F.lit(""))
-    title = lambda i: word(i).rlike(TITLE) & ~known(2, word(i))
+    title = lambda i: word(i).rlike(TITLE) & ~known(2, i)
     hits = "array<struct<i:int,n:int,both:boolean>>"
     begin = F.struct(F.lit(0).alias("next"), F.array().cast(hits).alias("hits"))
 
     def step(s: Column, i: Column) -> Column:
         first = title(i)
-        hit = lambda last: known(0, word(i)) | known(1, last)
-        three = first & word(i + 1).rlike(MIDDLE) & title(i + 2) & hit(word(i + 2))
-        two = first & title(i + 1) & hit(word(i + 1))
-        free = (s["next"] <= i) & ~known(3, word(i))
-        add = lambda n, last: F.struct((i + n).alias("next"), F.concat(s["hits"], F.array(F.struct(i.alias("i"), F.lit(n).alias("n"), (known(0, word(i)) & known(1, last)).alias("both")))).alias("hits"))
-        return F.when(free & three, add(3, word(i + 2))).when(free & two, add(2, word(i + 1))).otherwise(s)
+        hit = lambda last: known(0, i) | known(1, last)
+        three = first & word(i + 1).rlike(MIDDLE) & title(i + 2) & hit(i + 2)
+        two = first & title(i + 1) & hit(i + 1)
+        free = (s["next"] <= i) & ~known(3, i)
+        add = lambda n, last: F.struct((i + n).alias("next"), F.concat(s["hits"], F.array(F.struct(i.alias("i"), F.lit(n).alias("n"), (known(0, i) & known(1, last)).alias("both")))).alias("hits"))
+        return F.when(free & three, add(3, i + 2)).when(free & two, add(2, i + 1)).otherwise(s)
 
     # Only places with a capitalised word can start a name.
     places = F.filter(F.sequence(F.lit(0), F.size("_b") - 1), lambda i: F.get("_b", i).rlike(TITLE))

@@ -3,7 +3,7 @@
 import pytest
 
 from sablefold.errors import ScanError
-from sablefold.operators import block_rules, label_rules, line_rules
+from sablefold.operators import block_rules, label_rules, line_rules, words
 from sablefold.plans.policy import RuleRef, custom
 from sablefold.sources.text import text_lines
 
@@ -131,3 +131,13 @@ def test_custom_rules(spark):
 def test_low_confidence_words_cap_the_rank(spark):
     lines = text_lines(spark.createDataFrame([(1, "a@example.com")], "doc_id long, text string"), confidence=0.7)
     assert [r.conf_rank for r in line_rules.line_findings(lines, [line_rules.RULES["CO-001"]]).collect()] == [MEDIUM]
+
+
+def test_names_across_the_lists(spark):
+    """Names from all over the dictionaries, one word of each pair listed; neither word listed finds nothing."""
+    given = "aaron abigail adam alice grace hannah isaac mason olivia peter sophia tyler victoria zachary".split()
+    family = "alvarez armstrong bell fisher grant hunt o'brien stone washington west".split()
+    assert set(given) <= set(words.GIVEN) and set(family) <= set(words.FAMILY) and len(words.GIVEN) >= 465 and len(words.FAMILY) >= 275
+    texts = [f"{w.title()} Qzxvy" for w in given] + [f"Qzxvy {w.capitalize()}" for w in family] + ["Aaron Alvarez"]
+    docs = spark.createDataFrame([*enumerate([*texts, "Qzxvy Wqzxv"])], "doc_id long, text string")
+    assert sorted(r.matched_text for r in block_rules.full_names(text_lines(docs)).collect()) == sorted(texts)
