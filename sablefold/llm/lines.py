@@ -13,7 +13,8 @@ form that equals another's variant is one insertion away.  So each key needs
 its earliest member only, never the pairs of a group.  The partner found is
 then compared word by word.  A single edit leaves the first or the last five
 words of a line of ten or more alone, so only forms that share either with
-another form put out variants.
+another form put out variants.  With a smaller ``near_words``, lines of up to ten
+words have few variants, and all of them put theirs out.
 """
 
 from __future__ import annotations
@@ -47,16 +48,22 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int
 
     ``ord`` is the doc_id (the largest long for null), ``tie`` a hash of the text.
     """
-    half = near_words // 2
-    end = lambda k: F.when(F.col("n") >= near_words, F.xxhash64(F.lit(k), F.substring_index("norm", " ", k)))
-    lines = written(_lines(docs).where(F.col("n") >= min_words).select("ord", "tie", "line_no", "h1", "h2", end(half).alias("head"), end(-half).alias("tail")))
+    # Lines of up to ``least`` words aren't filtered, so those of one word more or less always meet.
+    least = max(near_words, NEAR_WORDS)
+    half = least // 2
+    end = lambda k: F.when(F.col("n") >= least, F.xxhash64(F.lit(k), F.substring_index("norm", " ", k)))
+    short = [F.col("n").between(near_words, least).alias("short")] if near_words < least else []
+    lines = written(_lines(docs).where(F.col("n") >= min_words).select("ord", "tie", "line_no", "h1", "h2", end(half).alias("head"), end(-half).alias("tail"), *short))
     place = F.struct("ord", "tie", "line_no")
-    forms = written(lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("copies"), F.min("head").alias("head"), F.min("tail").alias("tail")))
+    forms = written(lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("copies"), F.min("head").alias("head"), F.min("tail").alias("tail"), *[F.max("short").alias("short") for _ in short]))
     release(docs.sparkSession)
     # Forms that share their first or last words with another form.
     met = forms.where("head is not null").select("h1", "h2", F.explode(F.array("head", "tail")).alias("end"))
     common = met.groupBy("end").agg(F.count("*").alias("c")).where("c > 1").select("end")
-    likely = written(met.join(common, "end").select("h1", "h2").distinct().join(forms.select("h1", "h2", "first"), ["h1", "h2"]))
+    likely = met.join(common, "end").select("h1", "h2")
+    if short:
+        likely = likely.union(forms.where("short").select("h1", "h2"))
+    likely = written(likely.distinct().join(forms.select("h1", "h2", "first"), ["h1", "h2"]))
     # Their texts.  A table of at most 2^KEY_BITS parts of keys, whatever their number, goes to the scan first.
     part = F.col("h1").bitwiseAND(F.lit((1 << KEY_BITS) - 1))
     parts = likely.select(part.alias("part")).distinct()
@@ -138,10 +145,15 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = N
     return joined.select(*[text.alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
-def op3_line_dedup(spark, sf_dir: str) -> DataFrame:
+def op3_line_dedup(spark, sf_dir: str, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS) -> DataFrame:
     """doc_id, n_lines, n_gone (lines that go), near_gone (those that only have a near copy) and the lines' numbers."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    gone = repeated_lines(docs).groupBy("ord", "tie").agg(F.count("*").alias("n_gone"), F.sum(F.col("near").cast("long")).alias("near_gone"), F.array_join(F.array_sort(F.collect_set("line_no")), ",").alias("lines_gone"))
+    gone = repeated_lines(docs, min_words, near_words).groupBy("ord", "tie").agg(F.count("*").alias("n_gone"), F.sum(F.col("near").cast("long")).alias("near_gone"), F.array_join(F.array_sort(F.collect_set("line_no")), ",").alias("lines_gone"))
     rows = docs.select("doc_id", F.coalesce("doc_id", F.lit(2**63 - 1)).alias("ord"), F.xxhash64("text").alias("tie"), F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"))
     zero = F.lit(0).cast("long")
     return rows.join(gone, ["ord", "tie"], "left").select("doc_id", "n_lines", F.coalesce("n_gone", zero).alias("n_gone"), F.coalesce("near_gone", zero).alias("near_gone"), F.coalesce("lines_gone", F.lit("")).alias("lines_gone"))
+
+
+def op3_line_dedup_whole(spark, sf_dir: str) -> DataFrame:
+    """The same over lines of any length; one word edit counts from three words on, since any two words are one edit apart."""
+    return op3_line_dedup(spark, sf_dir, 1, 3)

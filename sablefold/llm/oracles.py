@@ -29,6 +29,8 @@ OP3 = r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
   g AS (SELECT doc_id, count(*) AS n_gone, count(*) FILTER (WHERE near) AS near_gone, string_agg(CAST(line_no AS varchar), ',' ORDER BY line_no) AS lines_gone FROM gone GROUP BY doc_id)
   SELECT doc_id, coalesce(len(string_split(text, chr(10))), 0) AS n_lines, coalesce(n_gone, 0) AS n_gone, coalesce(near_gone, 0) AS near_gone, coalesce(lines_gone, '') AS lines_gone FROM documents LEFT JOIN g USING (doc_id)"""
 
+OP3_WHOLE = OP3.replace(" AND len(string_split(norm, ' ')) >= 3)", ")").replace("len(w) >= 10", "len(w) >= 3")
+
 OP6 = rf"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
   sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [w] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: w[i:i + 4])) END AS s FROM w),
   n AS (SELECT doc_id, len(s) AS n_shingles FROM sets),
@@ -38,4 +40,4 @@ OP6 = rf"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coal
   {_REACH}
   SELECT n.doc_id, n_shingles, coalesce(component_id, n.doc_id) AS component_id FROM n LEFT JOIN lead ON lead.node = n.doc_id"""
 
-ORACLES = {"op1_embedding_dedup": OP1, "op3_line_dedup": OP3, "op4_license_scan": op4(), "op6_ngram_jaccard": OP6}
+ORACLES = {"op1_embedding_dedup": OP1, "op3_line_dedup": OP3, "op3_line_dedup_whole": OP3_WHOLE, "op4_license_scan": op4(), "op6_ngram_jaccard": OP6}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from .embeddings import op1_embedding_dedup
 from .jaccard import op6_ngram_jaccard
 from .licences import op4_license_scan
-from .lines import op3_line_dedup
+from .lines import op3_line_dedup, op3_line_dedup_whole
 from .mixing import op2_mixing
 from .oracles import ORACLES
 from .packing import op10_best_fit_packing
@@ -18,5 +18,5 @@ __all__ = ["ORACLES", "QUERIES"]
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_embedding_dedup, op2_mixing, op3_line_dedup, op4_license_scan, op5_quality, op6_ngram_jaccard, op7_toxicity, op8_simhash, op9_token_store, op10_best_fit_packing)
+    for f in (op1_embedding_dedup, op2_mixing, op3_line_dedup, op3_line_dedup_whole, op4_license_scan, op5_quality, op6_ngram_jaccard, op7_toxicity, op8_simhash, op9_token_store, op10_best_fit_packing)
 }

@@ -160,6 +160,13 @@ def test_lines_that_go(spark):
         assert sorted((r.ord, r.line_no) for r in gone.collect()) == sorted(near_lines(rows))
 
 
+def test_short_lines_that_go(spark):
+    short = "Menu\nhome page\nall rights reserved here\n" + TEXT[:40]
+    rows = [*line_rows(3), (900, short), (901, "menu\nHome  page\nall rights kept here\nother"), (902, "nine words are in this line of nine words"), (903, "nine words are in this long line of nine words")]
+    gone = sorted((r.ord, r.line_no) for r in repeated_lines(spark.createDataFrame(rows, "doc_id long, text string"), 1, 3).collect())
+    assert gone == sorted(near_lines(rows, 1, 3)) and {(901, 0), (901, 1), (901, 2), (903, 0)} <= set(gone) and (901, 3) not in gone
+
+
 def test_line_dedup_keeps_everything_else(spark):
     docs = documents(spark)
     got = dedup_lines(docs)
