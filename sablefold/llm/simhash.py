@@ -13,7 +13,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .session import shuffle_partitions
+from .session import shuffle_partitions, written
 
 WIDTH, RADIUS, BLOCKS = 5, 3, 6
 SEPARATORS = r"[\x20\x09-\x0D]+"
@@ -132,5 +132,12 @@ def within_radius(fps: DataFrame, queries: DataFrame, radius: int = RADIUS, bloc
     return left.join(right, near).select("query", "fp", "n")
 
 
+def with_near(rows: DataFrame) -> DataFrame:
+    """``rows(fp, ...)`` with ``near_docs``: how many other rows have a fingerprint at most ``RADIUS`` bits away."""
+    rows = written(rows)
+    near = within_radius(rows.select("fp"), rows.select("fp")).groupBy(F.col("query").alias("fp")).agg((F.sum("n") - 1).alias("near_docs"))
+    return rows.join(near, "fp").select(*rows.columns, "near_docs")
+
+
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
-    return document_fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("fp")
+    return with_near(document_fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet"))).drop("fp")

@@ -215,3 +215,10 @@ def test_block_tables_find_all_within_the_radius(spark):
     some = [r.fp for r in df.limit(80).collect()]
     want = {(q, f) for q in some for f in signed if bin((q ^ f) & (2**64 - 1)).count("1") <= 3}
     assert got == want
+
+
+def test_op8_counts_near_documents(spark, sf_dir):
+    rows = simhash.op8_simhash(spark, sf_dir).collect()
+    fps = [int(r.fingerprint, 16) for r in rows]
+    assert [r.near_docs for r in rows] == [sum((a ^ b).bit_count() <= simhash.RADIUS for b in fps) - 1 for a in fps]
+    assert len(rows) == spark.read.parquet(f"{sf_dir}/documents.parquet").count() and any(r.near_docs for r in rows)
