@@ -127,3 +127,17 @@ def test_the_library_does_without(tmp_path):
     shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert q and not [k for k in q if k.startswith('op') or k == 'pipeline']; assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=120)
+
+
+def test_wrapped_licences(spark):
+    long = next(t for i, t in licences.KNOWN if i == "MIT")
+    rows = [
+        (1, "This is free and unencumbered software released into the public\ndomain.", "Unlicense"),
+        (2, "// This is free and unencumbered software released into the public\n//  domain.", "Unlicense"),
+        (3, "This work is dedicated to the public-domain under CC0 1.0.", "CC0-1.0"),
+        (4, "Licensed under the Apache License, Version\n2.0.", "Apache-2.0"),
+        (5, "Copyright 2020 Someone\n(c) 2021 Other\n\n" + long.replace(" COPYRIGHT HOLDERS", "\nCOPYRIGHT HOLDERS").replace(" copyright notice", "\ncopyright notice"), "MIT"),
+        (6, "Copyright Jane Doe\n" + long, "MIT"),
+    ]
+    got = {(r.doc_id, r.license_id) for r in licences.scan(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()}
+    assert got == {(r[0], r[2]) for r in rows}
