@@ -64,6 +64,30 @@ _ISC = "Permission to use, copy, modify, and/or distribute this software for any
 _ISC_WARRANTY = 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'
 _APACHE = 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'
 
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+_BSD_1 = "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
+_BSD_2 = "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_3 = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_WARRANTY = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+_UNLICENSE = [
+    "This is free and unencumbered software released into the public domain.",
+    "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.",
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+    "For more information, please refer to",
+]
+
+
+def _gnu(name: str, version: str, later: bool) -> list[str]:
+    """The three paragraphs of the GNU notice."""
+    terms = f"either version {version} of the License, or (at your option) any later version." if later else f"version {version} of the License."
+    return [
+        f"This program is free software: you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free Software Foundation, {terms}",
+        f"This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} for more details.",
+        f"You should have received a copy of the GNU {name} along with this program. If not, see https://www.gnu.org/licenses/.",
+    ]
+
+
 #: Known texts and notices, by licence.
 KNOWN = [
     ("MIT", f"{_GRANT} {_WARRANTY}"),
@@ -92,6 +116,24 @@ KNOWN = [
     ("BSD-3-Clause", "Released under the BSD 3-Clause License."),
     ("BSD-2-Clause", "Released under the BSD 2-Clause License."),
 ]
+# Paragraphs of the texts above, and further texts; the SQL statement has the 25 above only.
+KNOWN += [("MIT", p) for p in (*_GRANT.replace("conditions: The", "conditions:\nThe").split("\n"), _WARRANTY)]
+KNOWN += [("ISC", f"{_ISC}, provided that the above copyright notice and this permission notice appear in all copies."), ("0BSD", f"{_ISC}.")]
+KNOWN += [("Apache-2.0", p) for p in _APACHE.replace(" You may", "\nYou may").replace(" Unless", "\nUnless").split("\n") if "obtain a copy" not in p]
+for _id, _marks in (("BSD-2-Clause", [("", ""), ("1. ", "2. "), ("* ", "* ")]), ("BSD-3-Clause", [("", "", ""), ("1. ", "2. ", "3. "), ("* ", "* ", "* ")])):
+    for _m in _marks:
+        _terms = " ".join(m + t for m, t in zip(_m, (_BSD_1, _BSD_2, _BSD_3)))
+        KNOWN += [(_id, f"{_head}{_BSD} {_terms} {_BSD_WARRANTY}") for _head in ("", f"BSD {_id[4]}-Clause License ", f"The BSD {_id[4]}-Clause License ")]
+KNOWN += [("BSD-3-Clause", m + _BSD_3) for m in ("", "3. ")]
+# The two share these.
+KNOWN += [("BSD", p) for p in (_BSD, f"1. {_BSD_1}", _BSD_1, f"2. {_BSD_2}", _BSD_2, _BSD_WARRANTY)]
+KNOWN += [("Unlicense", " ".join([*_UNLICENSE[:n], *end])) for n in (4, 5) for end in ([], ["<https://unlicense.org>"], ["<https://unlicense.org/>"])[: 1 if n == 4 else 3]]
+KNOWN += [("Unlicense", p) for p in _UNLICENSE[2:4]]
+for _id, _name, _version in (("GPL-2.0", "General Public License", "2"), ("GPL-3.0", "General Public License", "3"), ("LGPL-2.1", "Lesser General Public License", "2.1"), ("LGPL-3.0", "Lesser General Public License", "3"), ("AGPL-3.0", "Affero General Public License", "3")):
+    for _later in (True, False):
+        _notice = _gnu(_name, _version, _later)
+        # The second and third paragraphs don't tell the version.
+        KNOWN += [(_id, t.replace("software: you", _says)) for _says in ("software: you", "software; you") for t in (" ".join(_notice), _notice[0])]
 
 
 def canonical(text: Column) -> Column:

@@ -141,3 +141,21 @@ def test_wrapped_licences(spark):
     ]
     got = {(r.doc_id, r.license_id) for r in licences.scan(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()}
     assert got == {(r[0], r[2]) for r in rows}
+
+
+def test_more_licences(spark):
+    bsd = "\n\n".join([licences._BSD, "1. " + licences._BSD_1, "2. " + licences._BSD_2, licences._BSD_WARRANTY])
+    three = bsd.replace("\n\nTHIS", "\n\n3. " + licences._BSD_3.replace("copyright holder", "\n   copyright holder") + "\n\nTHIS")
+    gnu = "\n\n".join(licences._gnu("General Public License", "3", True))
+    grant = next(t for i, t in licences.KNOWN if i == "MIT").split(" The above")[0]
+    rows = [
+        (1, "Copyright (c) 2020 Someone\n\n" + bsd, ("BSD-2-Clause", "text")),
+        (2, "BSD 3-Clause License\n\nCopyright (c) 2020, Someone\n\n" + three, ("BSD-3-Clause", "text")),
+        (3, gnu, ("GPL-3.0", "text")),
+        (4, "A program.\n\n" + gnu.replace("GNU General", "GNU Affero General"), ("AGPL-3.0", "paragraph")),
+        (5, "\n\n".join(licences._UNLICENSE) + " <https://unlicense.org/>", ("Unlicense", "text")),
+        (6, "About us\n\n" + grant + "\n\nThe end", ("MIT", "paragraph")),
+    ]
+    got = {(r.doc_id, r.license_id): r.scope for r in licences.scan(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()}
+    shared = {(1, "BSD"): "paragraph", (2, "BSD"): "paragraph"}
+    assert got == {(i, want): scope for i, _, (want, scope) in rows} | shared
