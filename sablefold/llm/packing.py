@@ -9,7 +9,7 @@ best-filled whole sequences of one parent into the other, drops the sequences
 there that hold a piece twice, and best-fits what that displaced.  Between the
 two epochs each island's best packing moves to the next island.  Sequences that
 stay emptier than ``keep`` are dissolved, and their pieces are dealt and packed
-again in fewer groups, until one group is left.
+again in fewer groups, until one group is left, five rounds are over or a round shrinks the rest by less than a fifth.
 """
 
 from __future__ import annotations
