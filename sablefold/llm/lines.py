@@ -1,36 +1,44 @@
 """Line dedup by a deletion-neighbourhood join, in built-in expressions.
 
-A line's form is lower case with single spaces.  Lines of at least
-``min_words`` words that have an earlier line of the same form go.  Lines of at
-least ``near_words`` words also go if an earlier line is one word edit away:
-a word replaced, left out or added.  Documents count in ascending doc_id, lines
-from the top.
+A line's form is lower case with single spaces; blank lines have none.  A line
+goes if an earlier line has the same form, or, from ``near_words`` words on, if
+an earlier line is one word edit away: a word replaced, left out or added.
+Documents count in ascending doc_id, lines from the top.
 
 Forms meet in their deletion variants: the form with one word left out, and the
 form itself, as hashed keys.  Forms that leave out a word at the same place and
 agree on the rest are one substitution apart, all of them from each other; a
 form that equals another's variant is one insertion away.  So each key needs
 its earliest member only, never the pairs of a group.  The partner found is
-then compared word by word.  A single edit leaves the first or the last five
-words of a line of ten or more alone, so only forms that share either with
-another form put out variants.  With a smaller ``near_words``, lines of up to ten
-words have few variants, and all of them put theirs out.
+then compared word by word.
+
+One edit leaves the first or the second half of a line alone.  So only forms
+that share a half with another form put out variants: the first or last
+``n div 2`` words among forms of ``n`` words, and the same of ``n - 1`` where
+a form stands for the longer of a pair.
+
+Every table that is joined on a key that many rows may have goes through
+``_matched``, which sends the few heavy keys to all tasks instead.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .session import release, shuffle_partitions, written
 
-MIN_WORDS, NEAR_WORDS = 3, 10
-KEY_BITS = 20
+NEAR_WORDS = 3  # any two words are one edit apart
+HEAVY = 10_000  # a key is heavy if more than one row in so many has it, so fewer keys than this are
+LEAST = 1_000  # rows of a key that no task minds
+PLACE = ["ord", "tie", "line_no"]
 
 
 def form(line: Column) -> Column:
     """Lower case, words parted by one space.  Most lines are already, and only the others are rewritten."""
-    odd = line.contains("  ") | line.rlike(r"[\x09-\x0D]")
+    odd = line.contains("  ")
+    for c in "\t\x0b\x0c\r":
+        odd = odd | line.contains(c)
     return F.lower(F.trim(F.when(odd, F.regexp_replace(line, r"[\x20\x09-\x0D]+", " ")).otherwise(line)))
 
 
@@ -38,105 +46,134 @@ def _lines(docs: DataFrame) -> DataFrame:
     """ord, tie, line_no, norm, n (words), h1 and h2 (which name the form) of all lines with a word."""
     d = docs.select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("ord"), F.xxhash64("text").alias("tie"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     d = d.select("ord", "tie", "line_no", form(F.col("line")).alias("norm")).where("norm <> ''")
-    # Characters that aren't spaces, and spaces: words are one more than these.
-    n = F.length("norm") - F.length(F.replace(F.col("norm"), F.lit(" "), F.lit(""))) + 1
+    # Words are one more than spaces.
+    n = F.octet_length("norm") - F.octet_length(F.replace(F.col("norm"), F.lit(" "), F.lit(""))) + 1
     return d.select("*", n.alias("n"), F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(11), "norm").alias("h2"))
 
 
-def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS) -> DataFrame:
+def _halves() -> list[Column]:
+    """Keys of the first and last half, as one of two forms of equal length or the shorter of two, and as the longer."""
+    out = []
+    for role in (0, 1):
+        half = f"cast((n - {role}) div 2 as int)"
+        for side, sign in ((1, ""), (2, "-")):
+            words = F.expr(f"substring_index(norm, ' ', {sign}{half})")
+            out.append(F.when(F.col("n") >= 2 + role, F.xxhash64(F.lit(side), F.col("n") - role, words)))
+    return out
+
+
+def _matched(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """``rows`` joined with ``keys``, which are unique in ``on`` and say in ``c`` how many rows have each.
+
+    Fewer than ``HEAVY`` keys can be heavy; these are broadcast, and their rows stay where they are.
+    """
+    heavy = max(LEAST, (keys.agg(F.sum("c")).first()[0] or 0) // HEAVY)
+    few = keys.where(F.col("c") > heavy)
+    if few.isEmpty():
+        return rows.join(keys.drop("c"), on)
+    rest = rows.join(F.broadcast(few.select(*on)), on, "left_anti").join(keys.where(F.col("c") <= heavy).drop("c"), on)
+    return rows.join(F.broadcast(few.drop("c")), on).unionByName(rest)
+
+
+def repeated_lines(docs: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
     """ord, tie, line_no of the lines that go, and ``near``: whether only a near copy is earlier.
 
     ``ord`` is the doc_id (the largest long for null), ``tie`` a hash of the text.
+    A document that is there twice has its rows twice.
+    """
+    spark = docs.sparkSession
+    names = [f"end{k}" for k in range(4)]
+    lines = written(_lines(docs).withColumns(dict(zip(names, _halves(), strict=True))))
+    place = F.struct(*PLACE)
+    forms = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("copies"), F.min("n").alias("n"), *[F.min(c).alias(c) for c in names])
+    forms = written(forms.withColumn("end", F.array(*names)).drop(*names))
+    # Forms of which another one shares a half.
+    met = forms.where(F.col("n") >= near_words - 1).select("first", F.explode("end").alias("end")).where("end is not null")
+    release(spark)
+    common = written(met.groupBy("end").agg(F.count("*").alias("c")).where("c > 1"))
+    likely = _matched(met, common, ["end"]).select("first.*").distinct()
+    texts = lines.select(*PLACE, "norm", "n").join(likely, PLACE, "left_semi").dropDuplicates(PLACE)
+    # Numbers that rise with the place, so that one long says which of two forms is earlier.
+    texts = texts.repartitionByRange(shuffle_partitions(spark), *PLACE).sortWithinPartitions(*PLACE)
+    bodies = written(texts.select(F.monotonically_increasing_id().alias("me"), *PLACE, "n", F.split("norm", " ").alias("w")))
+    release(spark)
+    near = _near_forms(bodies, near_words)
+    near = bodies.join(near, "me", "left_semi").select(place.alias("p"))
+    gone = forms.select("h1", "h2", F.col("first").alias("p"), F.col("copies").alias("c")).join(near.withColumn("near", F.lit(True)), "p", "left")
+    gone = written(gone.where("c > 1 or near").select("h1", "h2", "p", F.coalesce("near", F.lit(False)).alias("near"), "c"))
+    out = _matched(lines.select(*PLACE, "h1", "h2"), gone, ["h1", "h2"])
+    return out.where((F.col("p") != place) | F.col("near")).select(*PLACE, (F.col("p") == place).alias("near"))
+
+
+def _with_earlier(stride: int) -> Column:
+    return F.transform("run", lambda x, i: F.when(i >= stride, x.bitwiseXOR(F.get("run", i - stride))).otherwise(x))
+
+
+def _variants(bodies: DataFrame) -> DataFrame:
+    """me, n, at, key: what is left of a form without its word ``at``; and with ``at`` -1 the form itself.
+
+    A key is the exclusive or of hashes of the words with their places, and the
+    number of words.  The words after the one left out move up by one place, so
+    neighbouring keys of a form differ in one word at two places, and all keys
+    follow from a running exclusive or, taken by doubling strides.
     """
-    # Lines of up to ``least`` words aren't filtered, so those of one word more or less always meet.
-    least = max(near_words, NEAR_WORDS)
-    half = least // 2
-    end = lambda k: F.when(F.col("n") >= least, F.xxhash64(F.lit(k), F.substring_index("norm", " ", k)))
-    short = [F.col("n").between(near_words, least).alias("short")] if near_words < least else []
-    lines = written(_lines(docs).where(F.col("n") >= min_words).select("ord", "tie", "line_no", "h1", "h2", end(half).alias("head"), end(-half).alias("tail"), *short))
-    place = F.struct("ord", "tie", "line_no")
-    forms = written(lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("copies"), F.min("head").alias("head"), F.min("tail").alias("tail"), *[F.max("short").alias("short") for _ in short]))
-    release(docs.sparkSession)
-    # Forms that share their first or last words with another form.
-    met = forms.where("head is not null").select("h1", "h2", F.explode(F.array("head", "tail")).alias("end"))
-    common = met.groupBy("end").agg(F.count("*").alias("c")).where("c > 1").select("end")
-    likely = met.join(common, "end").select("h1", "h2")
-    if short:
-        likely = likely.union(forms.where("short").select("h1", "h2"))
-    likely = written(likely.distinct().join(forms.select("h1", "h2", "first"), ["h1", "h2"]))
-    # Their texts.  A table of at most 2^KEY_BITS parts of keys, whatever their number, goes to the scan first.
-    part = F.col("h1").bitwiseAND(F.lit((1 << KEY_BITS) - 1))
-    parts = likely.select(part.alias("part")).distinct()
-    texts = _lines(docs).where(F.col("n") >= near_words).withColumn("part", part).join(F.broadcast(parts), "part", "left_semi").select("ord", "tie", "line_no", "h1", "h2", "norm", "n")
-    mine = likely.select("h1", "h2", F.col("first.ord").alias("ord"), F.col("first.tie").alias("tie"), F.col("first.line_no").alias("line_no"))
-    bodies = texts.join(mine, ["h1", "h2", "ord", "tie", "line_no"], "left_semi").dropDuplicates(["h1", "h2"])
-    bodies = written(bodies.select("h1", "h2", F.struct("ord", "tie", "line_no").alias("first"), F.split("norm", " ").alias("w"), "n"))
-    release(docs.sparkSession)
-    near = written(_near_forms(bodies))
-    gone = forms.join(near, ["h1", "h2"], "left").where("copies > 1 or near is not null").select("h1", "h2", "first", F.col("near").isNotNull().alias("near"))
-    mark = (F.col("first") != place) | F.col("near")
-    return lines.join(gone, ["h1", "h2"]).where(mark).select("ord", "tie", "line_no", (F.col("first") == place).alias("near"))
-
-
-def _parts(keys: DataFrame, key: str, shift: int) -> DataFrame:
-    """Which of 2^KEY_BITS parts the keys fall into: so many rows at most, whatever the number of keys."""
-    return keys.select(_part(F.col(key), shift).alias(f"part{shift}")).distinct()
-
-
-def _part(key: Column, shift: int) -> Column:
-    return F.shiftrightunsigned(key, shift).bitwiseAND(F.lit((1 << KEY_BITS) - 1))
-
-
-def _passing(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
-    """Rows whose key may be among ``keys``; two tables of bounded size tell before anything is moved."""
-    for shift in (0, KEY_BITS):
-        rows = rows.withColumn(f"part{shift}", _part(F.col(key), shift)).join(F.broadcast(_parts(keys, key, shift)), f"part{shift}", "left_semi").drop(f"part{shift}")
-    return rows
-
-
-def _near_forms(bodies: DataFrame) -> DataFrame:
-    """h1, h2, near (true) of the forms with an earlier form one word edit away."""
+    longest = bodies.agg(F.max("n")).first()[0] or 0
+    xor = lambda a, x: a.bitwiseXOR(x)
+    zero = F.lit(0).cast("long")
+    here = F.transform("w", lambda x, i: F.xxhash64(x, i))
+    left = F.transform("w", lambda x, i: F.xxhash64(x, i - 1))
+    d = bodies.select("me", "n", here.alias("here"), left.alias("left"))
+    d = d.withColumn("run", F.transform("left", lambda x, i: F.when(i > 0, x.bitwiseXOR(F.get("here", i - 1))).otherwise(x)))
+    stride = 1
+    while stride < longest:
+        d = d.withColumn("run", F.when(F.col("n") > stride, _with_earlier(stride)).otherwise(F.col("run")))
+        stride *= 2
+    d = d.select("me", "n", "run", F.aggregate("left", zero, xor).alias("all"), F.aggregate("here", zero, xor).alias("whole"))
+    keys = F.concat(F.transform("run", lambda x: F.xxhash64(F.col("n") - 1, x.bitwiseXOR(F.col("all")))), F.array(F.xxhash64("n", "whole")))
+    d = d.select("me", "n", F.posexplode(keys).alias("at", "key"))
+    return d.select("me", F.when(F.col("at") < F.col("n"), F.col("at")).otherwise(F.lit(-1)).alias("at"), "key")
+
+
+def _near_forms(bodies: DataFrame, near_words: int) -> DataFrame:
+    """``me`` of the forms of at least ``near_words`` words with an earlier form one word edit away."""
     spark = bodies.sparkSession
-    me = F.struct("first", "h1", "h2").alias("me")
-    w = bodies.select(me, "n", "w").repartition(shuffle_partitions(spark), "me").select("me", "n", F.posexplode("w").alias("i", "word"))
-    here, left = F.xxhash64("word", "i"), F.xxhash64("word", F.col("i") - 1)
-    span = Window.partitionBy("me").orderBy("i")
-    before = F.coalesce(F.bit_xor(here).over(span.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    # All words, and without those up to this one.
-    after = F.bit_xor(left).over(span.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).bitwiseXOR(F.bit_xor(left).over(span.rowsBetween(Window.unboundedPreceding, 0)))
-    w = w.withColumn("before", before).withColumn("after", after)
-    whole = F.when(F.col("i") == F.col("n") - 1, F.xxhash64("n", F.col("before").bitwiseXOR(here)))
-    # What is left without word ``at``, and, once a form, the form itself; both with their number of words, as a key.
-    out = written(w.select("me", F.col("i").alias("at"), F.xxhash64(F.col("n") - 1, F.col("before").bitwiseXOR(F.col("after"))).alias("key"), whole.alias("whole")))
-    dropped = out.select("me", "at", "key")
+    out = written(_variants(bodies))
+    dropped, full = out.where("at >= 0"), out.where("at < 0").select("me", "key")
     placed = dropped.withColumn("swap", F.xxhash64("key", "at"))
-    twice = written(placed.groupBy("swap").agg(F.count("*").alias("c")).where("c > 1").select("swap"))
+    earliest = written(placed.groupBy("swap").agg(F.min("me").alias("by"), F.count("*").alias("c")).where("c > 1"))
+    swaps = _matched(placed, earliest, ["swap"]).where("by < me").select("me", "by", F.col("at").alias("at_me"), F.col("at").alias("at_by"))
+    # Variants that are a form; a key is one form's, whatever the number of variants that equal it.
+    whole = written(full.groupBy("key").agg(F.min("me").alias("short")).join(dropped.groupBy("key").agg(F.count("*").alias("c")), "key"))
+    some = _matched(dropped, whole, ["key"])
+    adds = some.where("short < me").select("me", F.col("short").alias("by"), F.col("at").alias("at_me"), F.lit(-1).alias("at_by"))
+    longer = some.groupBy("short").agg(F.min(F.struct("me", "at")).alias("x")).where("x.me < short")
+    cuts = longer.select(F.col("short").alias("me"), F.col("x.me").alias("by"), F.lit(-1).alias("at_me"), F.col("x.at").alias("at_by"))
+    pairs = written(swaps.union(adds).union(cuts))
     release(spark)
-    some = _passing(placed, "swap", twice)
-    earliest = some.groupBy("swap").agg(F.min("me").alias("by"), F.count("*").alias("c")).where("c > 1").drop("c")
-    swaps = some.join(earliest, "swap").where(F.col("by") < F.col("me")).select("me", "by", F.col("at").alias("at_me"), F.col("at").alias("at_by"))
-    full = out.where("whole is not null").select("me", F.col("whole").alias("key"))
-    some = _passing(dropped, "key", full)
-    longer = some.groupBy("key").agg(F.min(F.struct("me", "at")).alias("x"))
-    shorter = full.join(longer, "key").where(F.col("x.me") < F.col("me")).select("me", F.col("x.me").alias("by"), F.lit(-1).alias("at_me"), F.col("x.at").alias("at_by"))
-    adds = some.join(full.groupBy("key").agg(F.min("me").alias("by")), "key").where(F.col("by") < F.col("me")).select("me", "by", F.col("at").alias("at_me"), F.lit(-1).alias("at_by"))
-    pairs = swaps.union(shorter).union(adds).groupBy("me", "by").agg(F.min(F.struct("at_me", "at_by")).alias("at"))
-    pairs = pairs.select(F.col("me.h1").alias("h1"), F.col("me.h2").alias("h2"), F.col("by.h1").alias("g1"), F.col("by.h2").alias("g2"), "at.*")
-    other = bodies.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("w").alias("u"))
+    mine = bodies.where(F.col("n") >= near_words).select("me", "w")
+    # A form may be the partner of very many, so its words go out once for each part of them.
+    parts = pairs.withColumn("part", F.pmod(F.xxhash64("me"), F.lit(shuffle_partitions(spark))))
+    other = parts.select("by", "part").distinct().join(bodies.select(F.col("me").alias("by"), F.col("w").alias("u")), "by")
     rest = lambda a, at: F.when(F.col(at) < 0, F.col(a)).otherwise(F.concat(F.slice(a, F.lit(1), F.greatest(F.col(at), F.lit(0))), F.slice(a, F.greatest(F.col(at), F.lit(0)) + 2, F.size(a))))
-    checked = pairs.join(bodies.select("h1", "h2", "w"), ["h1", "h2"]).join(other, ["g1", "g2"]).where(rest("w", "at_me") == rest("u", "at_by"))
-    return checked.select("h1", "h2").distinct().withColumn("near", F.lit(True))
+    checked = parts.join(mine, "me").join(other, ["by", "part"]).where(rest("w", "at_me") == rest("u", "at_by"))
+    return checked.select("me").distinct()
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS) -> DataFrame:
+def _gone_by_document(docs: DataFrame, near_words: int) -> DataFrame:
+    """ord, tie and the line numbers that go: ``gone`` all of them, ``near`` those with a near copy only."""
+    lines = repeated_lines(docs.select("doc_id", "text"), near_words)
+    return lines.groupBy("ord", "tie").agg(F.array_sort(F.collect_set("line_no")).alias("gone"), F.collect_set(F.when(F.col("near"), F.col("line_no"))).alias("near"))
+
+
+def dedup_lines(docs: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
     """Every row of ``docs`` with its columns, ``text`` without the lines that go.
 
-    Null text stays null, an empty text empty; a text may become empty.  Rows
-    equal in doc_id and text are one document seen twice and keep the same
-    lines.  A null doc_id comes last.  Other columns pass through whatever
-    their names.
+    Null text stays null, an empty text empty; a text may become empty; blank
+    lines stay.  Rows equal in doc_id and text are one document seen twice and
+    keep the same lines.  A null doc_id comes last.  Other columns pass through
+    whatever their names.
     """
-    gone = repeated_lines(docs.select("doc_id", "text"), min_words, near_words).groupBy("ord", "tie").agg(F.collect_set("line_no").alias("gone"))
+    gone = _gone_by_document(docs, near_words)
     rows = docs.select(F.struct("*").alias("row"), F.coalesce("doc_id", F.lit(2**63 - 1)).alias("ord"), F.xxhash64("text").alias("tie"))
     joined = rows.join(gone, ["ord", "tie"], "left")
     lines = F.split("row.text", "\n")
@@ -145,15 +182,11 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = N
     return joined.select(*[text.alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
-def op3_line_dedup(spark, sf_dir: str, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS) -> DataFrame:
+def op3_line_dedup(spark, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_gone (lines that go), near_gone (those that only have a near copy) and the lines' numbers."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    gone = repeated_lines(docs, min_words, near_words).groupBy("ord", "tie").agg(F.count("*").alias("n_gone"), F.sum(F.col("near").cast("long")).alias("near_gone"), F.array_join(F.array_sort(F.collect_set("line_no")), ",").alias("lines_gone"))
-    rows = docs.select("doc_id", F.coalesce("doc_id", F.lit(2**63 - 1)).alias("ord"), F.xxhash64("text").alias("tie"), F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"))
-    zero = F.lit(0).cast("long")
-    return rows.join(gone, ["ord", "tie"], "left").select("doc_id", "n_lines", F.coalesce("n_gone", zero).alias("n_gone"), F.coalesce("near_gone", zero).alias("near_gone"), F.coalesce("lines_gone", F.lit("")).alias("lines_gone"))
-
-
-def op3_line_dedup_whole(spark, sf_dir: str) -> DataFrame:
-    """The same over lines of any length; one word edit counts from three words on, since any two words are one edit apart."""
-    return op3_line_dedup(spark, sf_dir, 1, 3)
+    gone = _gone_by_document(docs, NEAR_WORDS)
+    count = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
+    rows = docs.select("doc_id", F.coalesce("doc_id", F.lit(2**63 - 1)).alias("ord"), F.xxhash64("text").alias("tie"), count(F.split("text", "\n")).alias("n_lines"))
+    listed = F.coalesce(F.array_join("gone", ","), F.lit(""))
+    return rows.join(gone, ["ord", "tie"], "left").select("doc_id", "n_lines", count("gone").alias("n_gone"), count("near").alias("near_gone"), listed.alias("lines_gone"))

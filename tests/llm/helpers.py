@@ -67,7 +67,7 @@ def held_out(doc_id):
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 5 == 0
 
 
-def near_lines(rows, min_words=3, near_words=10):
+def near_lines(rows, near_words=3):
     """(doc_id, line number) of the lines that line dedup takes, row by row in order."""
     seen, swapped, left = set(), set(), set()
     out = []
@@ -75,10 +75,10 @@ def near_lines(rows, min_words=3, near_words=10):
         for k, line in enumerate((text or "").split("\n")):
             norm = re.sub(r"[\x20\x09-\x0D]+", " ", line).lower().strip(" ")
             words = norm.split(" ") if norm else []
-            if len(words) < min_words:
+            if not words:
                 continue
-            drop = [tuple(words[:i] + words[i + 1 :]) for i in range(len(words))] if len(words) >= near_words else []
-            near = any((i, v) in swapped for i, v in enumerate(drop)) or any(len(v) >= near_words and " ".join(v) in seen for v in drop) or (bool(drop) and tuple(words) in left)
+            drop = [tuple(words[:i] + words[i + 1 :]) for i in range(len(words))]
+            near = len(words) >= near_words and (any((i, v) in swapped for i, v in enumerate(drop)) or any(" ".join(v) in seen for v in drop) or tuple(words) in left)
             if norm in seen or near:
                 out.append((doc_id, k))
             seen.add(norm)

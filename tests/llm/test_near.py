@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from sablefold.llm import jaccard, simhash
 from sablefold.llm.components import components
 from sablefold.llm.embeddings import near_embeddings, plan
+from sablefold.llm import lines
 from sablefold.llm.lines import dedup_lines, repeated_lines
 from sablefold.llm.words import U
 
@@ -160,11 +161,21 @@ def test_lines_that_go(spark):
         assert sorted((r.ord, r.line_no) for r in gone.collect()) == sorted(near_lines(rows))
 
 
+def test_common_keys_are_sent_to_all_tasks(spark, monkeypatch):
+    """One line in every document, and many one substitution, insertion and half apart, with almost every key heavy."""
+    monkeypatch.setattr(lines, "LEAST", 1)
+    monkeypatch.setattr(lines, "HEAVY", 20)
+    rows = [(d, f"the same line\nitem number {d} of this list\nof this list\nitem number of this list\n{TEXT} {d % 3}") for d in range(30)] + line_rows(4)
+    rows = [(i, t) for i, (_, t) in enumerate(rows)]
+    gone = repeated_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r.ord, r.line_no) for r in gone.collect()) == sorted(near_lines(rows))
+
+
 def test_short_lines_that_go(spark):
     short = "Menu\nhome page\nall rights reserved here\n" + TEXT[:40]
     rows = [*line_rows(3), (900, short), (901, "menu\nHome  page\nall rights kept here\nother"), (902, "nine words are in this line of nine words"), (903, "nine words are in this long line of nine words")]
-    gone = sorted((r.ord, r.line_no) for r in repeated_lines(spark.createDataFrame(rows, "doc_id long, text string"), 1, 3).collect())
-    assert gone == sorted(near_lines(rows, 1, 3)) and {(901, 0), (901, 1), (901, 2), (903, 0)} <= set(gone) and (901, 3) not in gone
+    gone = sorted((r.ord, r.line_no) for r in repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert gone == sorted(near_lines(rows)) and {(901, 0), (901, 1), (901, 2), (903, 0)} <= set(gone) and (901, 3) not in gone
 
 
 def test_line_dedup_keeps_everything_else(spark):
