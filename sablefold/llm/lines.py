@@ -83,7 +83,7 @@ def repeated_lines(docs: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
     """
     spark = docs.sparkSession
     names = [f"end{k}" for k in range(4)]
-    lines = written(_lines(docs).withColumns(dict(zip(names, _halves(), strict=True))))
+    lines = written(_lines(docs).select(*PLACE, "h1", "h2", "n", *[half.alias(name) for name, half in zip(names, _halves(), strict=True)]))
     place = F.struct(*PLACE)
     forms = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("copies"), F.min("n").alias("n"), *[F.min(c).alias(c) for c in names])
     forms = written(forms.withColumn("end", F.array(*names)).drop(*names))
@@ -91,8 +91,10 @@ def repeated_lines(docs: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
     met = forms.where(F.col("n") >= near_words - 1).select("first", F.explode("end").alias("end")).where("end is not null")
     release(spark)
     common = written(met.groupBy("end").agg(F.count("*").alias("c")).where("c > 1"))
-    likely = _matched(met, common, ["end"]).select("first.*").distinct()
-    texts = lines.select(*PLACE, "norm", "n").join(likely, PLACE, "left_semi").dropDuplicates(PLACE)
+    likely = written(_matched(met, common, ["end"]).select("first.*").distinct())
+    release(spark)
+    # Their texts, from a second look at the documents: less disk than all lines take.
+    texts = _lines(docs).select(*PLACE, "norm", "n").join(likely, PLACE, "left_semi").dropDuplicates(PLACE)
     # Numbers that rise with the place, so that one long says which of two forms is earlier.
     texts = texts.repartitionByRange(shuffle_partitions(spark), *PLACE).sortWithinPartitions(*PLACE)
     bodies = written(texts.select(F.monotonically_increasing_id().alias("me"), *PLACE, "n", F.split("norm", " ").alias("w")))
