@@ -18,7 +18,9 @@ that share a half with another form put out variants: the first or last
 a form stands for the longer of a pair.
 
 Every table that is joined on a key that many rows may have goes through
-``_matched``, which sends the few heavy keys to all tasks instead.
+``_matched``, which sends the few heavy keys to all tasks instead.  The other
+large joins are merge joins at every size, so small tables show what large ones
+do.
 """
 
 from __future__ import annotations
@@ -70,8 +72,8 @@ def _matched(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     heavy = max(LEAST, (keys.agg(F.sum("c")).first()[0] or 0) // HEAVY)
     few = keys.where(F.col("c") > heavy)
     if few.isEmpty():
-        return rows.join(keys.drop("c"), on)
-    rest = rows.join(F.broadcast(few.select(*on)), on, "left_anti").join(keys.where(F.col("c") <= heavy).drop("c"), on)
+        return rows.join(keys.drop("c").hint("merge"), on)
+    rest = rows.join(F.broadcast(few.select(*on)), on, "left_anti").join(keys.where(F.col("c") <= heavy).drop("c").hint("merge"), on)
     return rows.join(F.broadcast(few.drop("c")), on).unionByName(rest)
 
 
@@ -87,14 +89,14 @@ def repeated_lines(docs: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
     place = F.struct(*PLACE)
     forms = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("copies"), F.min("n").alias("n"), *[F.min(c).alias(c) for c in names])
     forms = written(forms.withColumn("end", F.array(*names)).drop(*names))
+    release(spark)
     # Forms of which another one shares a half.
     met = forms.where(F.col("n") >= near_words - 1).select("first", F.explode("end").alias("end")).where("end is not null")
-    release(spark)
     common = written(met.groupBy("end").agg(F.count("*").alias("c")).where("c > 1"))
     likely = written(_matched(met, common, ["end"]).select("first.*").distinct())
     release(spark)
     # Their texts, from a second look at the documents: less disk than all lines take.
-    texts = _lines(docs).select(*PLACE, "norm", "n").join(likely, PLACE, "left_semi").dropDuplicates(PLACE)
+    texts = _lines(docs).select(*PLACE, "norm", "n").join(likely.hint("merge"), PLACE, "left_semi").dropDuplicates(PLACE)
     # Numbers that rise with the place, so that one long says which of two forms is earlier.
     texts = texts.repartitionByRange(shuffle_partitions(spark), *PLACE).sortWithinPartitions(*PLACE)
     bodies = written(texts.select(F.monotonically_increasing_id().alias("me"), *PLACE, "n", F.split("norm", " ").alias("w")))
@@ -177,10 +179,10 @@ def dedup_lines(docs: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
     """
     gone = _gone_by_document(docs, near_words)
     rows = docs.select(F.struct("*").alias("row"), F.coalesce("doc_id", F.lit(2**63 - 1)).alias("ord"), F.xxhash64("text").alias("tie"))
-    joined = rows.join(gone, ["ord", "tie"], "left")
-    lines = F.split("row.text", "\n")
-    keep = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone")))
-    text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(F.transform(keep, lambda i: F.get(lines, i)), "\n"))
+    # A column of its own, used twice, is computed once; inside the function it would be once a line.
+    joined = rows.join(gone, ["ord", "tie"], "left").withColumn("lines", F.when(F.col("gone").isNotNull(), F.split("row.text", "\n")))
+    keep = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone")))
+    text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(F.transform(keep, lambda i: F.get("lines", i)), "\n"))
     return joined.select(*[text.alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
