@@ -15,10 +15,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, target: str, most: int) ->
     """At most ``most`` (text, label) pairs outside the held-out fold, as a seeded hash of the id picks them.
 
     ``most`` bounds what reaches the driver, whatever the size of the tables;
-    null labels and null texts don't count.  The picked ids are that few rows,
-    so they are broadcast to the scan of the documents.
+    null labels and null texts don't count, and of an id's texts the first in
+    code-point order does.  The picked ids are that few rows, so they are
+    broadcast to the scan of the documents.
     """
     known = labels.select("doc_id", F.col(target).cast("int").alias("label")).where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & ~held_out(F.col("doc_id")))
     picked = known.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(most)
-    rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])
+    rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
     return [(r["text"], r["label"]) for r in rows.orderBy("doc_id").collect()]
