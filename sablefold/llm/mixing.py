@@ -61,7 +61,8 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: fl
     sized = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("tie")))
     per = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, repeats)
     per = cut(per)
-    budget = int(per.agg(F.sum("target")).first()[0] or 0)
+    # The targets' sum, from whole numbers, so that no order of adding shows.
+    budget = int(min(share, repeats) * (per.agg(F.sum("source_size")).first()[0] or 0))
     place = F.xxhash64(F.lit(seed), "doc_id", "tie")
     keys = [F.col("source").asc_nulls_last(), F.col("place"), F.col("doc_id"), F.col("tie")]
     queued, _ = running(sized.withColumn("place", place), keys, "size", "before_all")
@@ -71,7 +72,6 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: fl
     s = starts.select(F.col("source").alias("s"), "source_size", "target", "source_start")
     queued = queued.join(s, F.col("source").eqNullSafe(F.col("s")), "left").drop("s").withColumn("so_far", F.col("before_all") - F.col("source_start") + F.col("size"))
     passes = queued.where("size > 0").select("doc_id", "place", "tie", "size", F.explode(F.array(*[((F.col("so_far") + F.lit(i).cast("long") * F.col("source_size")) / F.col("target")) for i in range(repeats)])).alias("finish"))
-    # Nothing that finishes after 1.0 by more than a document's length can be reached by the budget; sort what may be.
     lined, _ = running(passes, [F.col("finish"), F.col("place"), F.col("doc_id"), F.col("tie")], "size", "before")
     edge = lined.where((F.col("before") < budget) & (F.col("before") + F.col("size") >= budget)).select("finish", "place", "doc_id", "tie", "before").first()
     if edge is None:  # no words at all
