@@ -18,7 +18,7 @@ that share a half with another form put out variants: the first or last
 a form stands for the longer of a pair.
 
 Every table that is joined on a key that many rows may have goes through
-``_matched``, which sends the few heavy keys to all tasks instead.  The other
+``joins.matched``, which sends the few heavy keys to all tasks instead.  The other
 large joins are merge joins at every size, so small tables show what large ones
 do.
 """
@@ -28,11 +28,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .joins import matched
 from .session import release, shuffle_partitions, written
 
 NEAR_WORDS = 3  # any two words are one edit apart
-HEAVY = 10_000  # a key is heavy if more than one row in so many has it, so fewer keys than this are
-LEAST = 1_000  # rows of a key that no task minds
 PLACE = ["ord", "tie", "line_no"]
 
 
@@ -64,19 +63,6 @@ def _halves() -> list[Column]:
     return out
 
 
-def _matched(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
-    """``rows`` joined with ``keys``, which are unique in ``on`` and say in ``c`` how many rows have each.
-
-    Fewer than ``HEAVY`` keys can be heavy; these are broadcast, and their rows stay where they are.
-    """
-    heavy = max(LEAST, (keys.agg(F.sum("c")).first()[0] or 0) // HEAVY)
-    few = keys.where(F.col("c") > heavy)
-    if few.isEmpty():
-        return rows.join(keys.drop("c").hint("merge"), on)
-    rest = rows.join(F.broadcast(few.select(*on)), on, "left_anti").join(keys.where(F.col("c") <= heavy).drop("c").hint("merge"), on)
-    return rows.join(F.broadcast(few.drop("c")), on).unionByName(rest)
-
-
 def repeated_lines(docs: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
     """ord, tie, line_no of the lines that go, and ``near``: whether only a near copy is earlier.
 
@@ -93,7 +79,7 @@ def repeated_lines(docs: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
     # Forms of which another one shares a half.
     met = forms.where(F.col("n") >= near_words - 1).select("first", F.explode("end").alias("end")).where("end is not null")
     common = written(met.groupBy("end").agg(F.count("*").alias("c")).where("c > 1"))
-    likely = written(_matched(met, common, ["end"]).select("first.*").distinct())
+    likely = written(matched(met, common, ["end"]).select("first.*").distinct())
     release(spark)
     # Their texts, from a second look at the documents: less disk than all lines take.
     texts = _lines(docs).select(*PLACE, "norm", "n").join(likely.hint("merge"), PLACE, "left_semi").dropDuplicates(PLACE)
@@ -105,7 +91,7 @@ def repeated_lines(docs: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
     near = bodies.join(near, "me", "left_semi").select(place.alias("p"))
     gone = forms.select("h1", "h2", F.col("first").alias("p"), F.col("copies").alias("c")).join(near.withColumn("near", F.lit(True)), "p", "left")
     gone = written(gone.where("c > 1 or near").select("h1", "h2", "p", F.coalesce("near", F.lit(False)).alias("near"), "c"))
-    out = _matched(lines.select(*PLACE, "h1", "h2"), gone, ["h1", "h2"])
+    out = matched(lines.select(*PLACE, "h1", "h2"), gone, ["h1", "h2"])
     return out.where((F.col("p") != place) | F.col("near")).select(*PLACE, (F.col("p") == place).alias("near"))
 
 
@@ -145,10 +131,10 @@ def _near_forms(bodies: DataFrame, near_words: int) -> DataFrame:
     dropped, full = out.where("at >= 0"), out.where("at < 0").select("me", "key")
     placed = dropped.withColumn("swap", F.xxhash64("key", "at"))
     earliest = written(placed.groupBy("swap").agg(F.min("me").alias("by"), F.count("*").alias("c")).where("c > 1"))
-    swaps = _matched(placed, earliest, ["swap"]).where("by < me").select("me", "by", F.col("at").alias("at_me"), F.col("at").alias("at_by"))
+    swaps = matched(placed, earliest, ["swap"]).where("by < me").select("me", "by", F.col("at").alias("at_me"), F.col("at").alias("at_by"))
     # Variants that are a form; a key is one form's, whatever the number of variants that equal it.
     whole = written(full.groupBy("key").agg(F.min("me").alias("short")).join(dropped.groupBy("key").agg(F.count("*").alias("c")), "key"))
-    some = _matched(dropped, whole, ["key"])
+    some = matched(dropped, whole, ["key"])
     adds = some.where("short < me").select("me", F.col("short").alias("by"), F.col("at").alias("at_me"), F.lit(-1).alias("at_by"))
     longer = some.groupBy("short").agg(F.min(F.struct("me", "at")).alias("x")).where("x.me < short")
     cuts = longer.select(F.col("short").alias("me"), F.col("x.me").alias("by"), F.lit(-1).alias("at_me"), F.col("x.at").alias("at_by"))

@@ -8,10 +8,9 @@ import numpy as np
 from helpers import EDGES, TEXT, documents, empty, groups, near_lines, shingles
 from pyspark.sql import functions as F
 
-from sablefold.llm import jaccard, simhash
+from sablefold.llm import jaccard, joins, simhash
 from sablefold.llm.components import components
 from sablefold.llm.embeddings import near_embeddings, plan
-from sablefold.llm import lines
 from sablefold.llm.lines import dedup_lines, repeated_lines
 from sablefold.llm.words import U
 
@@ -163,8 +162,8 @@ def test_lines_that_go(spark):
 
 def test_common_keys_are_sent_to_all_tasks(spark, monkeypatch):
     """One line in every document, and many one substitution, insertion and half apart, with almost every key heavy."""
-    monkeypatch.setattr(lines, "LEAST", 1)
-    monkeypatch.setattr(lines, "HEAVY", 20)
+    monkeypatch.setattr(joins, "LEAST", 1)
+    monkeypatch.setattr(joins, "HEAVY", 20)
     rows = [(d, f"the same line\nitem number {d} of this list\nof this list\nitem number of this list\n{TEXT} {d % 3}") for d in range(30)] + line_rows(4)
     rows = [(i, t) for i, (_, t) in enumerate(rows)]
     gone = repeated_lines(spark.createDataFrame(rows, "doc_id long, text string"))
