@@ -22,7 +22,8 @@ signature in ``FIRST``, compares the members of a signature with one of them
 only, which puts most near copies into one component.  The second round takes
 all signatures and compares all members that are in different components: two
 as a pair; of more, all that share a signature with the same largest component
-are a star, whose members are compared in blocks, without listing the pairs.
+are a star, whose members in different components are compared in blocks,
+without listing the pairs.
 """
 
 from __future__ import annotations
@@ -39,6 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components, forest
+from .joins import matched
 from .session import cut, prepare, release, shuffle_partitions, written
 from .words import U, mix, shingles, slabs, sorted_sets, sums_by, word_hashes, word_spans
 
@@ -78,13 +80,24 @@ def shared_counts(docs: DataFrame, total: int, width: int = WIDTH) -> DataFrame:
     """s1, shared: how many of a set's shingles another set has too, or more (never fewer).
 
     Tasks send blocks of hashes, one for each of ``total / BUCKET`` hash ranges,
-    with every set once per block.  A shingle that several sets of a block have
-    is sent once and counted there, so a shingle that all documents have is one
-    entry of each block.  A set that several blocks hold may count such
-    shingles twice.  Rows without a ``doc_id`` are left out.
+    in runs that belong to one set; a block names only the sets it has shingles
+    of.  A shingle that several sets of a block have is sent once, without a
+    set, and counted there, so a shingle that all documents have is one entry
+    of each block.  A set that several blocks hold may count such shingles
+    twice.  Counts come back in as many parts, by set.  What is sent either way
+    follows the number of shingles.  Rows without a ``doc_id`` are left out.
     """
     buckets = max(8, -(-total // BUCKET))
-    block_schema = pa.schema([("bucket", pa.int32()), ("sets", pa.binary()), ("counts", pa.binary()), ("low", pa.binary()), ("local", pa.binary())])
+    block_schema = pa.schema([("bucket", pa.int32()), ("sets", pa.binary()), ("counts", pa.binary()), ("low", pa.binary()), ("many", pa.binary()), ("local", pa.binary())])
+    part_schema = pa.schema([("part", pa.int32()), ("sets", pa.binary()), ("counts", pa.binary()), ("local", pa.bool_())])
+
+    def five(hashes: np.ndarray) -> bytes:
+        return (hashes & U((1 << 40) - 1)).astype("<u8")[:, None].view(np.uint8)[:, :5].tobytes()
+
+    def wide(low: bytes) -> np.ndarray:
+        out = np.zeros((len(low) // 5, 8), np.uint8)
+        out[:, :5] = np.frombuffer(low, np.uint8).reshape(-1, 5)
+        return out.view("<u8").ravel()
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -99,20 +112,25 @@ def shared_counts(docs: DataFrame, total: int, width: int = WIDTH) -> DataFrame:
             again = np.zeros(len(s) + 1, bool)
             again[1:-1] = s[1:] == s[:-1]
             many = again[:-1] | again[1:]
-            local = np.bincount(who[many], minlength=len(sets)).astype(np.uint32)
-            # A shingle of several sets here goes out under no owner, once.
+            local = np.bincount(who[many], minlength=len(sets))
+            # A shingle of several sets here goes out under no set, once.
             sent = ~again[:-1]
             s, who = s[sent], np.where(many, len(sets), who)[sent]
             part = ((s >> U(40)) * U(buckets) >> U(24)).astype(np.int64)
             by = np.argsort(part * (len(sets) + 1) + who)
             s, who, part = s[by], who[by], part[by]
-            low = (s & U((1 << 40) - 1)).astype("<u8")[:, None].view(np.uint8)[:, :5]
             edges = np.searchsorted(part, np.arange(buckets + 1))
-            rows = [
-                {"bucket": b, "sets": sets.tobytes(), "counts": np.bincount(who[i:j], minlength=len(sets) + 1).astype(np.uint32).tobytes(), "low": low[i:j].tobytes(), "local": local.tobytes() if b == 0 else b""}
-                for b, (i, j) in enumerate(zip(edges[:-1], edges[1:]))
-                if i < j or b == 0
-            ]
+            rows = []
+            for b, (i, j) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())):
+                if i < j:
+                    k = i + int(np.searchsorted(who[i:j], len(sets)))
+                    begin = np.flatnonzero(np.diff(who[i:k], prepend=-1))
+                    runs = np.diff(np.append(begin, k - i)).astype(np.uint32)
+                    rows.append({"bucket": b, "sets": sets[who[i:k][begin]].tobytes(), "counts": runs.tobytes(), "low": five(s[i:k]), "many": five(s[k:j]), "local": b""})
+            # The block's own counts travel with any one bucket.
+            some = np.flatnonzero(local)
+            if len(some):
+                rows.append({"bucket": int(sets[some[0]] % buckets), "sets": sets[some].tobytes(), "counts": b"", "low": b"", "many": b"", "local": local[some].astype(np.uint32).tobytes()})
             held.clear(), known.clear()
             return pa.RecordBatch.from_pylist(rows, schema=block_schema)
 
@@ -125,41 +143,62 @@ def shared_counts(docs: DataFrame, total: int, width: int = WIDTH) -> DataFrame:
                 if size >= CHUNK:
                     yield flush()
                     size = 0
-        if held:
+        if size:
             yield flush()
 
-    def count(block: pd.DataFrame) -> pd.DataFrame:
-        sets, owners, hashes, local = [], [], [], []
-        for names, n, low, own in zip(block["sets"], block["counts"], block["low"], block["local"]):
-            names, n = np.frombuffer(names, np.int64), np.frombuffer(n, np.uint32)
-            wide = np.zeros((len(low) // 5, 8), np.uint8)
-            wide[:, :5] = np.frombuffer(low, np.uint8).reshape(-1, 5)
-            hashes.append(wide.view("<u8").ravel())
-            owner = np.repeat(np.arange(len(n), dtype=np.int64), n)
-            owners.append(np.where(owner == len(names), -1, owner + sum(map(len, sets))))
-            sets.append(names)
+    def parts(sets: np.ndarray, counts: np.ndarray, local: bool) -> Iterator[dict]:
+        to = (sets.view(U) % U(buckets)).astype(np.int64)
+        order = np.argsort(to, kind="stable")
+        sets, counts, to = sets[order], counts[order].astype(np.uint32), to[order]
+        edges = np.searchsorted(to, np.arange(buckets + 1))
+        for p, (i, j) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())):
+            if i < j:
+                yield {"part": p, "sets": sets[i:j].tobytes(), "counts": counts[i:j].tobytes(), "local": local}
+
+    def count(block: pa.Table) -> pa.Table:
+        out, sets, runs, hashes, free = [], [], [], [], []
+        for names, n, low, many, own in zip(*(block.column(k).to_pylist() for k in ("sets", "counts", "low", "many", "local"))):
+            names = np.frombuffer(names, np.int64)
             if own:
-                local.append(pd.DataFrame({"s1": names, "n": np.frombuffer(own, np.uint32).astype(np.int64)}))
-        names, owners, hashes = np.concatenate(sets), np.concatenate(owners), np.concatenate(hashes)
-        uniq, code = np.unique(names, return_inverse=True)
-        code = np.append(code, len(uniq))[owners]  # an entry without owner (-1) is a set unlike all others
-        order = np.lexsort((code, hashes))
-        s, c = hashes[order], code[order]
-        first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.empty(0, np.int64)
-        last = np.append(first[1:], len(s)) - 1
-        # Shared: the smallest and the largest set of the run differ, or the run has entries without an owner.
-        mixed = (c[first] != c[last]) | (c[last] == len(uniq))
-        run = np.repeat(mixed, last - first + 1)
-        once = np.ones(len(s), bool)
-        once[1:] = (s[1:] != s[:-1]) | (c[1:] != c[:-1])
-        found = np.bincount(c[run & once], minlength=len(uniq) + 1)[:-1]
-        r = pd.DataFrame({"s1": uniq, "n": found}).assign(local=False)
-        r = pd.concat([r, *(x.assign(local=True) for x in local)])
-        return r[r["n"] > 0].groupby(["s1", "local"], as_index=False)["n"].max()
-
-    sent = docs.where("doc_id is not null").mapInArrow(blocks, "bucket int, sets binary, counts binary, low binary, local binary")
-    counted = sent.groupBy("bucket").applyInPandas(count, "s1 long, local boolean, n long")
-    return counted.groupBy("s1").agg((F.coalesce(F.sum(F.when(~F.col("local"), F.col("n"))), F.lit(0)) + F.coalesce(F.max(F.when(F.col("local"), F.col("n"))), F.lit(0))).alias("shared"))
+                out += parts(names, np.frombuffer(own, np.uint32), True)
+            else:
+                sets.append(names), runs.append(np.frombuffer(n, np.uint32)), hashes.append(wide(low)), free.append(wide(many))
+        if sets:
+            uniq, code = np.unique(np.concatenate(sets), return_inverse=True)
+            # A shingle without a set is one of a set unlike all others.
+            owner = np.concatenate([np.repeat(code, np.concatenate(runs)), np.full(sum(map(len, free)), len(uniq))])
+            s = np.concatenate([*hashes, *free])
+            order = np.lexsort((owner, s)) if len(uniq) >> 24 else None
+            if order is None:
+                both = np.sort(s << U(24) | owner.astype(U))
+                s, c = both >> U(24), (both & U((1 << 24) - 1)).astype(np.int64)
+            else:
+                s, c = s[order], owner[order]
+            first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+            last = np.append(first[1:], len(s)) - 1
+            # Shared: the smallest and the largest set of the run differ, or the run has entries without a set.
+            mixed = (c[first] != c[last]) | (c[last] == len(uniq))
+            run = np.repeat(mixed, last - first + 1)
+            once = np.ones(len(s), bool)
+            once[1:] = (s[1:] != s[:-1]) | (c[1:] != c[:-1])
+            found = np.bincount(c[run & once], minlength=len(uniq) + 1)[:-1]
+            out += parts(uniq[found > 0], found[found > 0], False)
+        return pa.Table.from_pylist(out, schema=part_schema)
+
+    def fold(part: pa.Table) -> pa.Table:
+        local = part.column("local").to_numpy()
+        n = [np.frombuffer(x, np.uint32).astype(np.int64) for x in part.column("counts").to_pylist()]
+        names, code = np.unique(np.concatenate([np.frombuffer(x, np.int64) for x in part.column("sets").to_pylist()]), return_inverse=True)
+        own = np.repeat(local, [len(x) for x in n])
+        n = np.concatenate(n)
+        most = np.zeros(len(names), np.int64)
+        np.maximum.at(most, code[own], n[own])
+        total = np.bincount(code[~own], n[~own], minlength=len(names)).astype(np.int64) + most
+        return pa.table({"s1": names, "shared": total})
+
+    sent = docs.where("doc_id is not null").mapInArrow(blocks, "bucket int, sets binary, counts binary, low binary, many binary, local binary")
+    counted = sent.groupBy("bucket").applyInArrow(count, "part int, sets binary, counts binary, local boolean")
+    return counted.groupBy("part").applyInArrow(fold, "s1 long, shared long")
 
 
 @cache
@@ -251,17 +290,29 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _star_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``members(star, cls)`` -> (a, b): links that tie together all linked classes of a star.
-
-    A star is cut into blocks of about ``BLOCK`` classes, and each pair of
-    blocks is a piece of work that compares its classes and puts out a spanning
-    forest of what links, not the links.  A task takes many small stars.
+    """``members(star, cls, comp)`` -> (a, b): links that tie together all linked classes of a star.
+
+    A star is cut into blocks of about ``BLOCK`` classes: a component of that
+    many has blocks of its own, which don't meet each other, and the others
+    share theirs.  Each pair of blocks that meets is a piece of work that
+    compares its classes and puts out a spanning forest of what links, not the
+    links.  So the work is that of the classes outside of the largest
+    component, each block of them with all classes.  A task takes many pieces.
     """
-    sizes = members.groupBy("star").agg(F.ceil(F.count("*") / BLOCK).alias("of"))
-    mine = members.join(sizes, "star").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("of")))
-    work = mine.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("of") - 1)))
-    work = work.select("cls", "star", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), (F.col("block") <= F.col("other")).alias("first"))
-    work = cut(work)
+    sizes = cut(members.groupBy("star", "comp").agg(F.count("*").alias("c")))
+    shared = sizes.where(F.col("c") < BLOCK).groupBy("star").agg(F.ceil(F.sum("c") / BLOCK).alias("shared"))
+    homes = cut(sizes.join(shared, "star", "left").select("star", "comp", "c", F.when(F.col("c") >= BLOCK, F.col("comp")).alias("home"), F.when(F.col("c") >= BLOCK, F.ceil(F.col("c") / BLOCK)).otherwise(F.col("shared")).alias("of")))
+    name = lambda no: F.xxhash64(F.col("home").isNull(), "home", no)
+    blocks = homes.select("star", "home", "of").distinct().select("star", "home", F.explode(F.sequence(F.lit(0).cast("long"), F.col("of") - 1)).alias("no")).select("star", "home", name(F.col("no")).alias("block"))
+    top = sizes.groupBy("star").agg(F.max_by("comp", F.struct("c", "comp")).alias("top"))
+    blocks = cut(blocks.join(top, "star").select("star", "home", "block", F.coalesce(F.col("home") == F.col("top"), F.lit(False)).alias("top")))
+    x = blocks.where("not top").select("star", F.col("home").alias("home_x"), F.col("block").alias("lo"))
+    y = blocks.select("star", F.col("home").alias("home_y"), F.col("block").alias("hi"), "top")
+    meet = cut(x.join(y, "star").where("(top or lo <= hi) and (home_x is null or home_y is null or home_x <> home_y)").select("star", "lo", "hi"))
+    mine = matched(members, homes, ["star", "comp"]).select("cls", "star", name(F.pmod(F.xxhash64("cls"), F.col("of"))).alias("block"))
+    one = mine.join(meet.withColumn("block", F.col("lo")), ["star", "block"]).withColumn("first", F.lit(True))
+    two = mine.join(meet.where("lo <> hi").withColumn("block", F.col("hi")), ["star", "block"]).withColumn("first", F.lit(False))
+    work = cut(one.union(two).drop("block"))
     tasks = max(1, work.count() // PER_TASK)
     full = work.join(sets.select("cls", "comp", "body"), "cls").withColumn("task", F.pmod(F.xxhash64("star", "lo", "hi"), F.lit(tasks)))
 
@@ -376,7 +427,7 @@ def jaccard_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     links = links.union(cut(_verified(second, sets, percent)))
     large = mixed.where("not two").select("sig", "star")
     if large.take(1):
-        members = cut(_signature_rows(now, percent, _filter(large)).join(large, "sig").select("star", "cls").distinct())
+        members = cut(_signature_rows(now, percent, _filter(large)).join(large, "sig").select("star", "cls", "comp").distinct())
         links = links.union(cut(_star_links(members, now, percent)))
     linked = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     named_by = classes.join(linked.withColumnRenamed("node", "cls"), "cls", "left").select(*key, F.coalesce("component", "cls").alias("component_id"))
