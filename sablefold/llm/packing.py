@@ -3,19 +3,25 @@
 A document's ids and an end id are one piece, or, beyond ``size`` tokens,
 pieces of ``size`` with a shorter first one.  Full pieces are sequences.  The
 others are dealt by hash into groups of about ``GROUP`` pieces, and each group
-is packed on ``ISLANDS`` islands: populations of packings that start from
-best-fit decreasing over differently disturbed orders.  A crossover injects the
+is packed on ``ISLANDS`` islands: populations of packings that start from best
+fit over orders from decreasing to random.  A crossover injects some of the
 best-filled whole sequences of one parent into the other, drops the sequences
-there that hold a piece twice, and best-fits what that displaced.  Between the
-two epochs each island's best packing moves to the next island.  Sequences that
-stay emptier than ``keep`` are dissolved, and their pieces are dealt and packed
-again in fewer groups, until one group is left, five rounds are over or a round shrinks the rest by less than a fifth.
+there that hold a piece twice, and best-fits what that displaced.  An island
+goes on until ``PATIENCE`` generations in a row bring nothing, or more in a small
+group, or until no packing can have fewer sequences and all but one are full.  Between the two epochs each island's best packing moves
+to the next island, where it meets new founders.  Sequences that stay emptier
+than ``keep`` are dissolved, and their pieces are dealt and packed again in
+fewer groups, until one group is left or a round leaves more than ``SHRINK`` of
+the pieces before it: then the lengths that are left don't fill sequences, in
+whatever company.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -27,8 +33,9 @@ from .session import cut, prepare
 from .tokens import Encoder
 
 SIZE, END = 2048, 0
-GROUP, ISLANDS, POPULATION, GENERATIONS = 4096, 2, 3, 3
-KEEP, ROUNDS = 0.99, 5
+GROUP, ISLANDS, POPULATION, PATIENCE, EFFORT = 4096, 2, 8, 2, 8_000
+KEEP, SHRINK = 0.99, 0.9
+NEAR, TRIED = 16, 6  # displaced pieces, and pieces of a sequence, that are tried in pairs
 
 
 def pieces(docs: DataFrame, size: int = SIZE, vocabulary: str | None = None, end: int = END) -> DataFrame:
@@ -86,53 +93,104 @@ class Bins:
         self._file(b, room - length)
 
 
-def fill(order: list[int], lengths: list[int], size: int, start: list[list[int]] | None = None) -> list[list[int]]:
+Packing = tuple[list[list[int]], list[int]]  # the pieces of each sequence, and the room left in it
+
+
+def fill(order: Iterable[int], lengths: list[int], size: int, start: Packing | None = None) -> Packing:
     """Best fit of ``order`` into new sequences beside those of ``start``."""
     bins = Bins(size)
-    for members in start or []:
-        bins.open(members[:], size - sum(lengths[i] for i in members))
+    for members, room in zip(*start) if start else ():
+        bins.open(members[:], room)
     for i in order:
         bins.best_fit(i, lengths[i])
-    return bins.members
+    return bins.members, bins.room
+
+
+def as_packing(groups: Iterable[list[int]], lengths: list[int], size: int) -> Packing:
+    members = list(groups)
+    return members, [size - sum(lengths[i] for i in m) for m in members]
+
 
+def fitness(packing: Packing, size: int) -> tuple[float, float]:
+    """Fewer sequences first; then the mean square of their fill, so that what is free lies together."""
+    rooms = packing[1]
+    return -len(rooms), sum((1 - r / size) ** 2 for r in rooms) / max(1, len(rooms))
 
-def fitness(packing: list[list[int]], lengths: list[int], size: int) -> tuple[float, float]:
-    """Fewer sequences first; then the mean square of their fill."""
-    return -len(packing), sum((sum(lengths[i] for i in m) / size) ** 2 for m in packing) / max(1, len(packing))
 
+def settled(packing: Packing, lengths: list[int], size: int) -> bool:
+    """No packing has fewer sequences, and all but one are as full as those that are kept."""
+    return len(packing[1]) <= -(-sum(lengths) // size) and sum(r > size - int(KEEP * size) for r in packing[1]) <= 1
 
-def cross(a: list[list[int]], b: list[list[int]], lengths: list[int], size: int, rng: np.random.Generator) -> list[list[int]]:
-    """Well-filled sequences of ``a`` go whole into ``b``."""
-    room = sorted((size - sum(lengths[i] for i in m), k) for k, m in enumerate(a))
-    share = len(a) // 2
-    chosen = [a[k] for _, k in room[:share]]
-    injected = {i for m in chosen for i in m}
+
+def cross(a: Packing, b: Packing, lengths: list[int], size: int, rng: np.random.Generator) -> Packing:
+    """Well-filled sequences of ``a`` go whole into ``b``, where pieces that are there twice dissolve their sequences."""
+    best = sorted(range(len(a[0])), key=a[1].__getitem__)
+    chosen = best[: int(rng.integers(1, 1 + max(1, len(best) - 1)))]
+    injected = {i for k in chosen for i in a[0][k]}
     kept, displaced = [], []
-    for m in b:
-        hit = [i for i in m if i in injected]
-        if not hit:
-            kept.append(m)
+    for k, m in enumerate(b[0]):
+        if injected.isdisjoint(m):
+            kept.append(k)
         else:
             displaced += [i for i in m if i not in injected]
     # Mutation: a few of the emptiest sequences are dissolved too.
-    kept.sort(key=lambda m: sum(lengths[i] for i in m))
+    kept.sort(key=b[1].__getitem__, reverse=True)
     drop = int(rng.integers(0, 1 + max(1, len(kept) // 20)))
-    displaced += [i for m in kept[:drop] for i in m]
+    displaced += [i for k in kept[:drop] for i in b[0][k]]
     displaced.sort(key=lambda i: -lengths[i])
-    return fill(displaced, lengths, size, [*chosen, *kept[drop:]])
-
-
-def evolve(population: list[list[list[int]]], lengths: list[int], size: int, rng: np.random.Generator, generations: int) -> list[list[int]]:
-    """The best packing after some generations; the best so far always stays."""
-    least = -(-sum(lengths) // size)
-    score = lambda p: fitness(p, lengths, size)
-    population.sort(key=score, reverse=True)
-    for _ in range(generations):
-        if len(population[0]) <= least:
+    start = [a[0][k] for k in chosen] + [b[0][k] for k in kept[drop:]], [a[1][k] for k in chosen] + [b[1][k] for k in kept[drop:]]
+    start, displaced = trade(start, displaced, lengths)
+    return fill(sorted(displaced, key=lambda i: -lengths[i]), lengths, size, start)
+
+
+def trade(packing: Packing, displaced: list[int], lengths: list[int]) -> tuple[Packing, list[int]]:
+    """Sequences give up to two pieces for up to two displaced ones that fill them better, so smaller pieces are left to place."""
+    members, rooms = [], []
+    for m, room in zip(*packing):
+        m = m[:]
+        while room and displaced:
+            # Sums of one or two displaced pieces, in order; of many, those next to each other in size stand for all.
+            near = displaced if len(displaced) <= NEAR else displaced[:: -(-len(displaced) // NEAR)]
+            offers = sorted([(lengths[i], (i,)) for i in near] + [(lengths[i] + lengths[j], (i, j)) for i, j in combinations(near, 2)])
+            best = None
+            for out in [(i,) for i in m] + list(combinations(m[:TRIED], 2)):
+                held = sum(lengths[i] for i in out)
+                k = bisect_right(offers, held + room, key=lambda o: o[0]) - 1
+                if k >= 0 and offers[k][0] > held and (best is None or offers[k][0] - held > best[0]):
+                    best = offers[k][0] - held, out, offers[k][1]
+            if best is None:
+                break
+            gain, out, in_ = best
+            m = [i for i in m if i not in out] + list(in_)
+            displaced = [i for i in displaced if i not in in_] + list(out)
+            room -= gain
+        members.append(m), rooms.append(room)
+    return (members, rooms), displaced
+
+
+def founders(lengths: list[int], size: int, rng: np.random.Generator, n: int) -> list[Packing]:
+    """Best fit of ``n`` orders: decreasing, decreasing but disturbed more and more, and, last, any."""
+    size_of = np.array(lengths)
+    orders = [np.argsort(-size_of, kind="stable")]
+    orders += [np.argsort(-(size_of + rng.normal(0, size / 100 * 2**k, len(lengths))), kind="stable") for k in range(n - 2)]
+    return [fill(o.tolist(), lengths, size) for o in [*orders, rng.permutation(len(lengths))][:n]]
+
+
+def evolve(population: list[Packing], lengths: list[int], size: int, rng: np.random.Generator, effort: int) -> Packing:
+    """The best packing once it is settled or some generations in a row, of ``effort`` pieces in all, brought none better."""
+    ranked = sorted(((fitness(p, size), p) for p in population), key=lambda x: x[0], reverse=True)
+    idle, patience = 0, max(PATIENCE, effort // max(1, len(lengths)))
+    while True:
+        if idle >= patience or settled(ranked[0][1], lengths, size) or len(ranked) < 2:
             break
-        children = [cross(population[int(i)], population[int(j)], lengths, size, rng) for i, j in (rng.permutation(len(population))[:2] for _ in range(len(population) - 1))]
-        population = sorted([*population, *children], key=score, reverse=True)[: len(population)]
-    return population[0]
+        before = ranked[0][0]
+        pairs = [rng.permutation(len(ranked))[:2] for _ in range(len(population) - 1)]
+        children = [cross(ranked[int(i)][1], ranked[int(j)][1], lengths, size, rng) for i, j in pairs]
+        # One of each fitness stays, so that no packing fills the population with itself.
+        by = dict(reversed([*ranked, *((fitness(c, size), c) for c in children)]))
+        ranked = sorted(by.items(), key=lambda x: x[0], reverse=True)[: len(population)]
+        idle = 0 if ranked[0][0] > before else idle + 1
+    return ranked[0][1]
 
 
 def pack(items: DataFrame, size: int = SIZE, keep: float = KEEP, group_size: int = GROUP) -> DataFrame:
@@ -141,12 +199,10 @@ def pack(items: DataFrame, size: int = SIZE, keep: float = KEEP, group_size: int
     prepare(spark)
     full = items.where(F.col("length") == size).select("item", F.col("item").bitwiseOR(F.lit(1 << 62)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest, done = cut(items.where(F.col("length") < size).select("item", "length")), [full]
-    n, before = rest.count(), None
-    for turn in range(ROUNDS):
-        if not n:
-            break
+    n, before, turn = rest.count(), None, 0
+    while n:
         groups = max(1, -(-n // group_size))
-        last = groups == 1 or turn == ROUNDS - 1 or (before is not None and n > 0.8 * before)
+        last = groups == 1 or (before is not None and n > SHRINK * before)
         packed = cut(_round(rest, size, groups, turn))
         if last:
             done.append(packed.select("item", "sequence_id", "offset"))
@@ -154,7 +210,7 @@ def pack(items: DataFrame, size: int = SIZE, keep: float = KEEP, group_size: int
         good = F.col("filled") >= F.lit(int(keep * size))
         done.append(packed.where(good).select("item", "sequence_id", "offset"))
         rest = packed.where(~good).select("item", "length")
-        before, n = n, rest.count()
+        before, n, turn = n, rest.count(), turn + 1
     out = done[0]
     for d in done[1:]:
         out = out.union(d)
@@ -165,19 +221,11 @@ def _round(items: DataFrame, size: int, groups: int, turn: int) -> DataFrame:
     """One packing of every group: item, length, sequence_id, offset, filled."""
     dealt = items.withColumn("grp", F.pmod(F.xxhash64("item", F.lit(turn)), F.lit(groups)).cast("int")).withColumn("island", F.explode(F.array(*[F.lit(i) for i in range(ISLANDS)])))
 
-    def packings(b: pd.DataFrame, column: str) -> list[list[list[int]]]:
-        return [list(x) for x in ([g.tolist() for g in b.groupby(column, sort=True).indices.values()],)]
-
     def first(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values("item", ignore_index=True)
         lengths = b["length"].tolist()
         rng = np.random.default_rng([turn, *map(int, key)])
-        size_of = np.array(lengths)
-        people = []
-        for k in range(POPULATION):
-            noise = rng.integers(-20 * (k + key[1]), 20 * (k + key[1]) + 1, len(b)) if k + key[1] else 0
-            people.append(fill(np.argsort(-(size_of + noise), kind="stable").tolist(), lengths, size))
-        best = evolve(people, lengths, size, rng, GENERATIONS)
+        best = evolve(founders(lengths, size, rng, POPULATION), lengths, size, rng, EFFORT)
         b["bin"] = _labels(best, len(b))
         return b[["grp", "island", "item", "length", "bin"]]
 
@@ -186,10 +234,10 @@ def _round(items: DataFrame, size: int, groups: int, turn: int) -> DataFrame:
         guest = b[b["moved"]].sort_values("item", ignore_index=True)
         lengths = own["length"].tolist()
         rng = np.random.default_rng([turn, 77, *map(int, key)])
-        people = [[x.tolist() for x in p.groupby("bin").indices.values()] for p in (own, guest)]
-        best = evolve(people, lengths, size, rng, GENERATIONS)
+        elite = [as_packing((x.tolist() for x in p.groupby("bin").indices.values()), lengths, size) for p in (own, guest)]
+        best = evolve([*elite, *founders(lengths, size, rng, POPULATION - 2)], lengths, size, rng, EFFORT)
         own["bin"] = _labels(best, len(own))
-        own["rank"], own["quality"] = (float(x) for x in fitness(best, lengths, size))
+        own["rank"], own["quality"] = (float(x) for x in fitness(best, size))
         return own[["grp", "island", "item", "length", "bin", "rank", "quality"]]
 
     def choose(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
@@ -205,9 +253,9 @@ def _round(items: DataFrame, size: int, groups: int, turn: int) -> DataFrame:
     return evolved.groupBy("grp").applyInPandas(choose, "item long, length long, sequence_id long, offset long, filled long")
 
 
-def _labels(packing: list[list[int]], n: int) -> np.ndarray:
+def _labels(packing: Packing, n: int) -> np.ndarray:
     out = np.empty(n, np.int32)
-    for k, m in enumerate(packing):
+    for k, m in enumerate(packing[0]):
         out[m] = k
     return out
 

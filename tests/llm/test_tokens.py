@@ -136,12 +136,39 @@ def test_packing_in_many_groups(spark):
     assert used <= 1.01 * least + 2
 
 
+def whole(packing_, lengths, size):
+    members, rooms = packing_
+    assert sorted(i for m in members for i in m) == list(range(len(lengths)))
+    assert all(r >= 0 and sum(lengths[i] for i in m) + r == size for m, r in zip(members, rooms, strict=True))
+    return len(members)
+
+
 def test_crossover_keeps_every_piece_once():
     rng = np.random.default_rng(2)
     lengths = rng.integers(1, 90, 200).tolist()
     a, b = (packing.fill(rng.permutation(200).tolist(), lengths, 100) for _ in range(2))
-    c = packing.cross(a, b, lengths, 100, rng)
-    assert sorted(i for m in c for i in m) == list(range(200)) and max(sum(lengths[i] for i in m) for m in c) <= 100
+    for _ in range(20):
+        whole(packing.cross(a, b, lengths, 100, rng), lengths, 100)
+
+
+def test_evolution_beats_best_fit():
+    """Ten sequences cut into three pieces each: best-fit decreasing needs eleven, the islands mostly find the ten."""
+    size, better = 2048, 0
+    for seed in range(12):
+        rng = np.random.default_rng(seed)
+        lengths = [int(x) for _ in range(10) for x in np.diff([0, *np.sort(rng.choice(np.arange(1, size), 2, replace=False)), size])]
+        population = packing.founders(lengths, size, rng, packing.POPULATION)
+        best_fit = whole(population[0], lengths, size)
+        evolved = whole(packing.evolve(population, lengths, size, rng, packing.EFFORT), lengths, size)
+        assert 10 <= evolved <= best_fit
+        better += evolved < best_fit
+    assert better >= 8
+
+
+def test_pieces_that_fill_nothing_end_the_rounds(spark):
+    items = spark.createDataFrame([(i, 1500 + i % 300) for i in range(900)], "item long, length long")
+    got = packing.pack(items, group_size=100)
+    assert got.count() == 900 == got.select("sequence_id").distinct().count()
 
 
 def water(sizes, share=1.5, repeats=2):
