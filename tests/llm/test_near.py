@@ -3,8 +3,10 @@
 import hashlib
 import math
 import random
+import re
 
 import numpy as np
+import xxhash
 from helpers import EDGES, TEXT, documents, empty, groups, near_lines, shingles
 from pyspark.sql import functions as F
 
@@ -214,6 +216,25 @@ def test_fingerprints(spark):
     assert simhash.document_fingerprints(empty(spark)).count() == 0
 
 
+def plain_fingerprint(text):
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", text or "") if w]
+    terms = [words[i : i + 5] for i in range(max(1, len(words) - 4))] if words else []
+    bits = [0] * 64
+    for term in terms:
+        h = xxhash.xxh64_intdigest((5).to_bytes(4, "little"), 42)
+        for w in term:
+            h = xxhash.xxh64_intdigest(w.encode(), h)
+        for b in range(64):
+            bits[b] += h >> b & 1
+    return sum(1 << b for b in range(64) if 2 * bits[b] > len(terms))
+
+
+def test_fingerprints_are_those_of_a_plain_simhash(spark):
+    rows = [(i, t) for i, t in corpus(8, 40)] + [(i + 100, t) for i, (_, t, *_) in enumerate(EDGES)]
+    got = {r.doc_id: int(r.fingerprint, 16) for r in simhash.document_fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: plain_fingerprint(t) for i, t in rows} and len(set(got.values())) > 30
+
+
 def test_block_tables_find_all_within_the_radius(spark):
     rng = random.Random(4)
     fps = [rng.getrandbits(64) for _ in range(150)]
