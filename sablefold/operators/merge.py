@@ -26,24 +26,27 @@ _b = lambda c: F.col(f"bbox.{c}")
 
 
 def in_rows(findings: DataFrame) -> DataFrame:
-    """Groups (``GROUP``) with ``flat``: whether their boxes' distinct rows (y, h) don't touch each other."""
-    rows = findings.groupBy(*GROUP, _b("y").alias("y"), _b("h").alias("h")).agg(F.count("*").alias("n"))
+    """Groups (``GROUP``) with ``flat``: whether their boxes' distinct rows (y, h) don't touch each other and none is merged already."""
+    rows = findings.groupBy(*GROUP, _b("y").alias("y"), _b("h").alias("h")).agg(F.max(F.size("merged_from")).alias("n"))
     above = Window.partitionBy(*GROUP).orderBy("y", "h").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("free", F.coalesce(F.col("y") >= F.max(F.col("y") + F.col("h")).over(above), F.lit(True))).groupBy(*GROUP).agg(F.min("free").alias("flat"))
+    return rows.withColumn("free", F.coalesce(F.col("y") >= F.max(F.col("y") + F.col("h")).over(above), F.lit(True)) & (F.col("n") == 0)).groupBy(*GROUP).agg(F.min("free").alias("flat"))
 
 
 def merge_rows(findings: DataFrame) -> DataFrame:
-    """Merges within rows of equal y and height: gaps and islands along x."""
+    """Merges within rows of equal y and height: gaps and islands along x.  No finding may be a merged one already."""
     row = [*GROUP, "_y", "_h"]
     f = findings.withColumn("_y", _b("y")).withColumn("_h", _b("h"))
     order = Window.partitionBy(*row).orderBy(_b("x"), "rule_id", _b("w"), "conf_rank", "matched_text", "char_start")
     reach = F.max(_b("x") + _b("w")).over(order.rowsBetween(Window.unboundedPreceding, -1))
     f = f.withColumn("_new", F.coalesce(_b("x") > reach + GAP, F.lit(True)).cast("int")).withColumn("_at", F.row_number().over(order))
     f = f.withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    # A merge puts the rule that doesn't lead before those merged earlier: the box that joins, or the leader it outranks.
+    before = F.min_by(F.struct("conf_rank", "rule_id"), F.struct(-F.col("conf_rank"), "_at")).over(Window.partitionBy(*row, "_island").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1))
+    f = f.withColumn("_before", before).withColumn("_joins", F.when(F.col("conf_rank") > F.col("_before.conf_rank"), F.col("_before.rule_id")).when(F.col("_before").isNotNull(), F.col("rule_id")))
     # The first of the highest confidence gives the rule, its text and its place.
-    best = F.min_by(F.struct("rule_id", "matched_text", "block_id", "line_no", "char_start", "char_end", "merged_from"), F.struct(-F.col("conf_rank"), "_at"))
+    best = F.min_by(F.struct("rule_id", "matched_text", "block_id", "line_no", "char_start", "char_end"), F.struct(-F.col("conf_rank"), "_at"))
     texts = F.array_sort(F.collect_list(F.when(F.col("matched_text") != "", F.struct((-F.col("conf_rank")).alias("r"), "_at", F.col("matched_text").alias("t")))))
-    ids = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_at", F.concat(F.array("rule_id"), "merged_from").alias("ids")))), lambda s: s["ids"]))
+    ids = F.reverse(F.transform(F.array_sort(F.collect_list(F.when(F.col("_joins").isNotNull(), F.struct("_at", "_joins")))), lambda s: s["_joins"]))
     g = f.groupBy(*row, "_island").agg(best.alias("best"), F.max("conf_rank").alias("conf_rank"), F.min(_b("x")).alias("x"), F.max(_b("x") + _b("w")).alias("r"), texts.alias("texts"), ids.alias("ids"), F.min("char_start").alias("s"), F.max("char_end").alias("e"))
     box = F.struct("x", F.col("_y").alias("y"), (F.col("r") - F.col("x")).alias("w"), F.col("_h").alias("h"))
     text = F.when(F.col("best.matched_text") != "", F.col("best.matched_text")).otherwise(F.coalesce(F.get("texts", F.lit(0))["t"], F.lit("")))
@@ -64,7 +67,7 @@ def _joined(a: dict, b: dict) -> dict:
     """``a`` stands before ``b`` and leads unless ``b`` is surer."""
     lead, other = (b, a) if b["conf_rank"] > a["conf_rank"] else (a, b)
     x, y = min(a["x"], b["x"]), min(a["y"], b["y"])
-    ids = dict.fromkeys([a["rule_id"], *a["merged_from"], b["rule_id"], *b["merged_from"]])
+    ids = dict.fromkeys([other["rule_id"], *lead["merged_from"], *other["merged_from"]])
     ids.pop(lead["rule_id"], None)
     return lead | {
         "x": x, "y": y, "w": max(a["x"] + a["w"], b["x"] + b["w"]) - x, "h": max(a["y"] + a["h"], b["y"] + b["h"]) - y,

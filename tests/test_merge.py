@@ -27,11 +27,11 @@ def rows(seed, docs=30, flat=True):
     for d in range(docs):
         for i in range(rng.randint(1, 12)):
             y = 10 + 30 * rng.randint(0, 3) if flat else rng.randint(0, 60)
-            yield (d, 0, "b", i, rng.choice(["CO-001", "CO-002"]), "CONTACT", {"x": rng.randint(0, 200), "y": y, "w": rng.randint(5, 40), "h": 24}, rng.randint(0, 2), f"t{i}", i, i + 1, [])
+            yield (d, 0, "b", i, rng.choice(["CO-001", "CO-002", "CO-003", "CU-001"]), "CONTACT", {"x": rng.randint(0, 200), "y": y, "w": rng.randint(5, 40), "h": 24}, rng.randint(0, 2), f"t{i}", i, i + 1, [])
 
 
 def plain(df):
-    return sorted((r.doc_id, r.rule_id, tuple(r.bbox), r.conf_rank, r.matched_text, tuple(sorted(r.merged_from))) for r in df.collect())
+    return sorted((r.doc_id, r.rule_id, tuple(r.bbox), r.conf_rank, r.matched_text, tuple(r.merged_from)) for r in df.collect())
 
 
 def test_rows_of_text_take_the_window_path_and_agree_with_the_fold(spark):
@@ -50,3 +50,12 @@ def test_categories_and_pages_stay_apart(spark):
     out = {(r.page_index, r.category): r for r in merge(spark.createDataFrame(data, FINDINGS)).collect()}
     assert len(out) == 3
     assert (out[1, "CONTACT"].rule_id, out[1, "CONTACT"].merged_from, out[1, "CONTACT"].matched_text) == ("CO-002", ["CO-001"], "z")
+
+
+def test_rules_that_joined_last_come_first(spark):
+    f = lambda x, rule, rank: (1, 0, "b", 0, rule, "CONTACT", {"x": x, "y": 0, "w": 10, "h": 10}, rank, "t", x, x + 1, [])
+    for ranks, want in (((2, 1, 1), ("CO-001", ["CO-003", "CO-002"])), ((0, 1, 2), ("CO-003", ["CO-002", "CO-001"])), ((1, 2, 1), ("CO-002", ["CO-003", "CO-001"]))):
+        df = spark.createDataFrame([f(12 * i, f"CO-00{i + 1}", r) for i, r in enumerate(ranks)], FINDINGS)
+        for way in (merge, merge_boxes):
+            r = way(df).first()
+            assert (r.rule_id, r.merged_from) == want
