@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from ..functions.geometry import gap, union_of, y2
 from ..functions.text import between, found, pattern, starts
 from ..schema import HIGH, KEYS, MEDIUM, floor_rank
 from .common import finish, shaped
-from .line_rules import dates
+from .line_rules import YEAR, dates
 from .words import COUNTRIES, FAMILY, GIVEN, HONORIFICS, STOP
 
 # The patterns that the rules stand for.
@@ -24,6 +26,42 @@ TITLE, MIDDLE, PUNCTUATION = r"^[A-Z][a-zA-Z'\-]+$", r"^[A-Z]\.?$", ".,;:!?\"'()
 BIRTH_REACH, CARD_REACH = 32, 200
 
 
+def birth_gate() -> Column:
+    return F.col("line_text").rlike(YEAR) | F.col("line_text").rlike(BIRTH)
+
+
+def _country(countries: list[str]) -> Column:
+    return F.lower(F.rtrim(F.trim("line_text"), F.lit(",."))).isin(countries)
+
+
+def address_gate(countries: list[str] = COUNTRIES) -> Column:
+    text = F.col("line_text")
+    return text.rlike(STREET) | text.rlike(CITY) | text.rlike(ADDRESS) | _country(countries)
+
+
+def card_gate() -> Column:
+    return F.col("line_text").rlike(EXPIRY) | F.col("line_text").rlike(CVV_WORD)
+
+
+def key_gate() -> Column:
+    return F.col("line_text").rlike(KEY_BEGIN) | F.col("line_text").rlike(KEY_END)
+
+
+def whole_page(rule_ids: set[str]) -> Column | None:
+    """Lines whose whole document the rules want, also lines that pass no gate; None if there are no such rules."""
+    wanted = {"CO-003": ADDRESS, "CR-002": KEY_BEGIN}
+    some = [F.col("line_text").rlike(p) for i, p in wanted.items() if i in rule_ids]
+    return reduce(lambda a, b: a | b, some) if some else None
+
+
+def name_gate(given: list[str] = GIVEN, family: list[str] = FAMILY) -> Column:
+    return _names_listed(F.transform(F.split("line_text", " "), bare), given, family)
+
+
+def _names_listed(words: Column, given: list[str], family: list[str]) -> Column:
+    return F.exists(words, lambda w: w.rlike(TITLE) & F.lower(w).isin(list({*given, *family})))
+
+
 def birth_dates(lines: DataFrame) -> DataFrame:
     """ID-002: dates; high where a birth word stands on the line or on one that ends up to 32 pixels above."""
     rows = dates(lines).withColumn("own", F.col("line_text").rlike(BIRTH))
@@ -42,8 +80,7 @@ def addresses(lines: DataFrame, countries: list[str] = COUNTRIES) -> DataFrame:
     text = F.col("line_text")
     order = [*KEYS, "reading_order"]
     place = F.col("reading_order")
-    country = F.lower(F.rtrim(F.trim(text), F.lit(",."))).isin(countries)
-    next_ = lines.where(text.rlike(CITY) | country).select(*KEYS, (place - 1).alias("reading_order"), text.alias("second"), F.col("bbox").alias("box2"), F.col("confidence").alias("conf2"))
+    next_ = lines.where(text.rlike(CITY) | _country(countries)).select(*KEYS, (place - 1).alias("reading_order"), text.alias("second"), F.col("bbox").alias("box2"), F.col("confidence").alias("conf2"))
     label = lines.where(text.rlike(ADDRESS)).select(*KEYS, (place + 1).alias("reading_order"), F.lit(True).alias("labelled"))
     street = lines.where(text.rlike(STREET)).select(*order)
     # Few lines are any of these, and the candidates are put together before the lines are read for their text.
@@ -61,13 +98,12 @@ def addresses(lines: DataFrame, countries: list[str] = COUNTRIES) -> DataFrame:
 def card_details(lines: DataFrame, cards: DataFrame) -> DataFrame:
     """FI-004: expiry dates, and codes on lines that name them, within 200 pixels of a card (``cards``: FI-001 findings)."""
     text = F.col("line_text")
-    gate = text.rlike(EXPIRY) | text.rlike(CVV_WORD)
     band = lambda y: F.floor(y / 256)
     near = cards.select(*KEYS, F.col("bbox").alias("card"))
     near = near.withColumn("band", F.explode(F.sequence(band(F.col("card.y") - CARD_REACH), band(y2(F.col("card")) + CARD_REACH))))
-    some = lines.where(gate).withColumn("band", F.explode(F.sequence(band(F.col("bbox.y")), band(y2(F.col("bbox"))))))
+    some = lines.where(card_gate()).withColumn("band", F.explode(F.sequence(band(F.col("bbox.y")), band(y2(F.col("bbox"))))))
     keep = some.join(near, [*KEYS, "band"]).where(gap(F.col("bbox"), F.col("card")) <= CARD_REACH).select(*KEYS, "line_no").distinct()
-    close = lines.where(gate).join(keep, [*KEYS, "line_no"], "left_semi")
+    close = lines.where(card_gate()).join(keep, [*KEYS, "line_no"], "left_semi")
     out = None
     for p, on in ((EXPIRY, F.lit(True)), (CVV, text.rlike(CVV_WORD))):
         hit = close.where(on).select("*", found(text, p).alias("_m"), between(text, p).alias("_g"))
@@ -111,7 +147,7 @@ def full_names(lines: DataFrame, given: list[str] = GIVEN, family: list[str] = F
     # Few lines hold a capitalised listed name, and only these are walked.  Each list stands in the plan once:
     # ``_k`` holds, for each list, whether it has the words.
     rows = lines.select("*", F.split(text, " ").alias("_w")).select("*", F.transform("_w", bare).alias("_b"))
-    rows = rows.where(F.exists("_b", lambda w: w.rlike(TITLE) & F.lower(w).isin(list({*given, *family}))))
+    rows = rows.where(_names_listed(F.col("_b"), given, family))
     listed = lambda names: F.transform("_b", lambda w: F.lower(w).isin(names))
     rows = rows.select("*", F.array(*[listed(names) for names in lists]).alias("_k"))
     known = lambda i, at: F.coalesce(F.get(F.col("_k")[i], at), F.lit(False))

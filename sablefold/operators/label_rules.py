@@ -53,6 +53,7 @@ RULES = {
     )
 }
 PAYMENT = pattern(r"\b(?:Paid\s+to|Pay\s+to|Payee|Beneficiary|Recipient|Receiver|Sender|Sent\s+to|Transferred\s+to|Account\s+(?:Holder|Name))\b", True)
+DIGIT, TWO_NAMES = r"(?U)\d", r"(^| )[A-Z][A-Za-z'\-]+ [A-Z][A-Za-z'\-]+( |$)"
 NAME_WORD, PAYMENT_REACH, NAME_WORDS = r"^[A-Z][A-Za-z'\-]+$", 96, 5
 
 
@@ -73,6 +74,16 @@ def meet(labels: DataFrame, values: DataFrame, reach: Column) -> DataFrame:
     return left.join(right, [*KEYS, "band"]).where(same | near).drop("band")
 
 
+def gate(rules: list[LabelRule]) -> Column:
+    """Lines that hold a label of ``rules`` or may hold a value."""
+    text = F.col("line_text")
+    return reduce(lambda a, b: a | b, [text.rlike(r.label) for r in rules]) | text.rlike(DIGIT)
+
+
+def payment_gate() -> Column:
+    return F.col("line_text").rlike(PAYMENT) | F.col("line_text").rlike(TWO_NAMES)
+
+
 def label_findings(lines: DataFrame, rules: list[LabelRule]) -> DataFrame:
     """Findings of all label rules of ``rules``, through one join."""
     text = F.col("line_text")
@@ -80,7 +91,7 @@ def label_findings(lines: DataFrame, rules: list[LabelRule]) -> DataFrame:
     marks = F.array(*[F.struct(F.lit(i).alias("rule"), label_end(text, r.label).alias("label_end"), F.lit(r.reach).alias("reach")) for i, r in enumerate(rules)])
     labels = lines.where(reduce(lambda a, b: a | b, [text.rlike(r.label) for r in rules]))
     labels = labels.select(*KEYS, F.col("line_no").alias("label_line"), F.col("bbox").alias("label_box"), F.explode(F.filter(marks, lambda m: m["label_end"].isNotNull())).alias("mark")).select(*KEYS, "label_line", "label_box", "mark.*")
-    values = lines.where(text.rlike(r"(?U)\d"))
+    values = lines.where(text.rlike(DIGIT))
     pairs = meet(labels, values, F.col("reach"))
     # A search that starts behind the label still sees whether a word ends there: a stand-in that no value contains.
     own = F.col("line_no") == F.col("label_line")
@@ -124,7 +135,7 @@ def payment_names(lines: DataFrame, stop: list[str] = STOP) -> DataFrame:
     """ID-008: the name beside or below a payment label, one per label."""
     text = F.col("line_text")
     labels = lines.select(*KEYS, F.col("line_no").alias("label_line"), F.col("bbox").alias("label_box"), label_end(text, PAYMENT).alias("label_end")).where("label_end is not null")
-    values = lines.where(text.rlike(r"(^| )[A-Z][A-Za-z'\-]+ [A-Z][A-Za-z'\-]+( |$)"))
+    values = lines.where(text.rlike(TWO_NAMES))
     pairs = meet(labels, values, F.lit(PAYMENT_REACH))
     # On the label's line, words that end within the label are no names.
     own = F.col("line_no") == F.col("label_line")

@@ -47,6 +47,8 @@ GPS = pattern(r"(?<![\d.])(-?(?:[1-8]?\d(?:\.\d+)?|90(?:\.0+)?))\s*(°)?\s*([NS]
 DAY_FIRST = pattern(r"\b(?:0?[1-9]|[12]\d|3[01])[\/\-.\s](?:0?[1-9]|1[0-2])[\/\-.\s](?:19|20)\d{2}\b")
 YEAR_FIRST = pattern(r"\b(?:19|20)\d{2}[\/\-.\s](?:0?[1-9]|1[0-2])[\/\-.\s](?:0?[1-9]|[12]\d|3[01])\b")
 
+YEAR = r"(19|20)\p{Nd}{2}"
+
 
 def _phone(m: Column, line: Column, at: Column) -> Column:
     start = F.greatest(at - 16, F.lit(0))
@@ -92,6 +94,11 @@ def custom_rule(category: str, expression: str, rank: int) -> LineRule:
     return LineRule("CU-001", category, pattern(expression), lambda t: t.rlike(pattern(expression)), rank=lambda m, line, at: F.lit(rank))
 
 
+def gate(rules: list[LineRule]) -> Column:
+    """Lines that a rule may find something in."""
+    return reduce(lambda a, b: a | b, [r.gate(F.col("line_text")) for r in rules])
+
+
 def line_findings(lines: DataFrame, rules: list[LineRule]) -> DataFrame:
     """Findings of all ``rules`` over ``lines``, in one scan."""
     text = F.col("line_text")
@@ -120,10 +127,9 @@ def line_findings(lines: DataFrame, rules: list[LineRule]) -> DataFrame:
 def dates(lines: DataFrame) -> DataFrame:
     """Line columns with one row per valid date: matched_text, char_start."""
     text = F.col("line_text")
-    gate = text.rlike(r"(19|20)\p{Nd}{2}")
     out = None
     for p in (DAY_FIRST, YEAR_FIRST):
-        hit = lines.where(gate).select("*", found(text, p).alias("_m"), between(text, p).alias("_g")).where(F.size("_m") > 0)
+        hit = lines.where(text.rlike(YEAR)).select("*", found(text, p).alias("_m"), between(text, p).alias("_g")).where(F.size("_m") > 0)
         rows = hit.select(*lines.columns, F.explode(F.transform("_m", lambda v, k: F.struct(v.alias("matched_text"), starts(F.col("_m"), F.col("_g"), k).alias("char_start")))).alias("s")).select(*lines.columns, "s.*").where(date_ok(F.col("matched_text")))
         out = rows if out is None else out.union(rows)
     return out

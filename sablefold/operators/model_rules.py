@@ -2,8 +2,10 @@
 
 A model is made by a function once per task and called with lines; it returns
 ``(start, end, label, score)`` for each entity.  No model is part of this
-package.  A model that can't be made is an error of the whole plan when
-``fatal``; one failing call gives a row of ``FAILED`` and the rest goes on.
+package.  A model that can't be made fails the whole plan.  A failing call is a
+finding of the category ``FAILED`` with the error as its text, and the rest goes
+on; ``failures`` takes these apart, so that no document passes for clean because
+a model never looked at it.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from ..errors import ScanError
 from ..functions.text import starts
 from ..runtime import ship
 from ..schema import FINDINGS, HIGH, LOW, MEDIUM
-from .common import finish
+from .common import finish, shaped
 
 Entity = tuple[int, int, str, float]
 Model = Callable[[str], list[Entity]]
@@ -31,6 +33,21 @@ ENTITY_LABELS = {
     "social security number": "IDENTITY", "username": "IDENTITY", "email": "CONTACT", "phone number": "CONTACT", "address": "CONTACT", "credit card": "FINANCIAL", "bank account": "FINANCIAL",
     "iban": "FINANCIAL", "medical record number": "HEALTH", "medical condition": "HEALTH", "password": "CREDENTIALS", "api key": "CREDENTIALS",
 }
+# What the labels of ML-002 mean, by category.
+CLINICAL_LABELS = {
+    name: category
+    for category, names in {
+        "IDENTITY": "first_name last_name middle_name full_name date_of_birth date time age ssn social_security_number passport_number driver_license national_id id_number occupation username",
+        "CONTACT": "email email_address phone phone_number address street_address zip_code",
+        "FINANCIAL": "credit_card credit_card_number bank_account iban cvv",
+        "HEALTH": "medical_record_number mrn health_insurance_number",
+        "CREDENTIALS": "api_key password secret",
+        "LOCATION": "gps_coordinates city state country",
+    }.items()
+    for name in names.split()
+}
+LABELS = {"ML-001": ENTITY_LABELS, "ML-002": CLINICAL_LABELS}
+IMAGE_RULES = ("ID-007",)
 SHORTEST, SEPARATORS = 5, ("-", "_", ".", "")
 
 
@@ -58,19 +75,36 @@ def score_rank(score: Column) -> Column:
     return F.when(score >= 0.85, HIGH).when(score >= 0.65, MEDIUM).otherwise(LOW)
 
 
-def entity_findings(lines: DataFrame, rule_id: str, make: Callable[[], Model], labels: dict[str, str] = ENTITY_LABELS, least: float = 0.5) -> DataFrame:
-    """ML-001 and ML-002: entities whose label has a category and whose score reaches ``least``."""
+def entity_findings(lines: DataFrame, rule_id: str, make: Callable[[], Model], labels: dict[str, str] | None = None, least: float = 0.5) -> DataFrame:
+    """ML-001 and ML-002: entities whose label has a category and whose score reaches ``least``, and calls that failed."""
+    labels = LABELS[rule_id] if labels is None else labels
     if not 0.0 <= least <= 1.0 or not labels:
         raise ScanError("E_POLICY", f"{rule_id}: a score threshold from 0 to 1 and some labels are needed")
     category = F.create_map(*[F.lit(x) for kv in labels.items() for x in kv])
-    rows = entities(lines, make).where((F.col("label") != FAILED) & (F.col("score") >= least))
+    found = entities(lines, make)
+    rows = found.where((F.col("label") != FAILED) & (F.col("score") >= least))
     rows = rows.withColumn("category", F.try_element_at(category, F.lower("label"))).where("category is not null")
-    return finish(rows.select(*lines.columns, "matched_text", "char_start", "category", F.lit(rule_id).alias("rule_id"), score_rank(F.col("score")).alias("rank")))
+    good = finish(rows.select(*lines.columns, "matched_text", "char_start", "category", F.lit(rule_id).alias("rule_id"), score_rank(F.col("score")).alias("rank")))
+    return good.unionByName(_failed_calls(found, rule_id))
 
 
-def model_failures(found: DataFrame) -> DataFrame:
-    """Rows of ``entities`` as warnings, for the calls that failed."""
-    return found.where(F.col("label") == FAILED).select("doc_id", F.lit("W_DETECTOR_PARTIAL_FAILURE").alias("code"), F.col("matched_text").alias("message"), F.lit("detect").alias("source")).distinct()
+def _failed_calls(found: DataFrame, rule_id: str) -> DataFrame:
+    """The failed calls among ``entities``, shaped as findings."""
+    own = {"rule_id": F.lit(rule_id), "category": F.lit(FAILED), "conf_rank": F.lit(LOW), "char_end": F.lit(0), "merged_from": F.array().cast("array<string>")}
+    return shaped(found.where(F.col("label") == FAILED).withColumns(own))
+
+
+def failures(findings: DataFrame, text_rules: int, image_rules: int = 0) -> DataFrame:
+    """doc_id, fatal, message of the documents for which rules failed.
+
+    Fatal is a document for which all of ``text_rules`` rules over text failed,
+    or all of ``image_rules`` rules over pixels.
+    """
+    of_image = F.col("rule_id").isin(list(IMAGE_RULES))
+    bad = findings.where(F.col("category") == FAILED).groupBy("doc_id", of_image.alias("of_image"), "rule_id").agg(F.min("matched_text").alias("message"))
+    bad = bad.groupBy("doc_id", "of_image").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.concat_ws(": ", "rule_id", "message"))).alias("said"))
+    all_ = F.col("n") >= F.when(F.col("of_image"), image_rules).otherwise(text_rules)
+    return bad.groupBy("doc_id").agg(F.max(all_).alias("fatal"), F.array_join(F.array_sort(F.flatten(F.collect_list("said"))), "; ").alias("message"))
 
 
 def variants(name: Column) -> Column:
@@ -90,7 +124,8 @@ def person_names(lines: DataFrame, make: Callable[[], Model], label: str = "PERS
     letters and digits, whatever the case; a document's pattern is built from
     its own names, so it travels with its lines and with no others.
     """
-    people = entities(lines, make).where(F.col("label") == label)
+    called = entities(lines, make)
+    people = called.where(F.col("label") == label)
     found = finish(people.select(*lines.columns, "matched_text", "char_start", F.lit("ID-006").alias("rule_id"), F.lit("IDENTITY").alias("category"), F.when(F.col("matched_text").rlike(r"\S \S"), HIGH).otherwise(MEDIUM).alias("rank")))
     listed = people.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_set(variants(F.col("matched_text"))))).alias("v")).where(F.size("v") > 0)
     ordered = F.reverse(F.array_sort(F.transform("v", lambda v: F.struct(F.length(v).alias("n"), v.alias("v")))))
@@ -99,7 +134,7 @@ def person_names(lines: DataFrame, make: Callable[[], Model], label: str = "PERS
     rows = lines.join(patterns, "doc_id").select("*", F.regexp_extract_all("line_text", F.col("_p"), F.lit(0)).alias("_m"), F.expr("split(line_text, _p, -1)").alias("_g")).where(F.size("_m") > 0)
     spans = rows.select(*lines.columns, F.explode(F.transform("_m", lambda v, k: F.struct(v.alias("matched_text"), starts(F.col("_m"), F.col("_g"), k).alias("char_start")))).alias("s")).select(*lines.columns, "s.*")
     handles = finish(spans.select("*", F.lit("ID-006").alias("rule_id"), F.lit("IDENTITY").alias("category"), F.lit(MEDIUM).alias("rank")))
-    return found.unionByName(handles)
+    return found.unionByName(handles).unionByName(_failed_calls(called, "ID-006"))
 
 
 def faces(images: DataFrame, make: Callable[[], Callable[[bytes], list[tuple[int, int, int, int]]]], scale_factor: float = 1.1, min_neighbors: int = 5, min_size_fraction: float = 0.05) -> DataFrame:
@@ -116,8 +151,9 @@ def faces(images: DataFrame, make: Callable[[], Callable[[bytes], list[tuple[int
             for doc_id, content in zip(b["doc_id"], b["content"]):
                 try:
                     boxes = detect(bytes(content))
-                except Exception:  # an image that can't be looked at has no faces; the text rules go on
-                    boxes = []
+                except Exception as error:  # the text rules go on
+                    out.append((doc_id, 0, None, None, "ID-007", FAILED, None, LOW, f"{type(error).__name__}: {error}", None, None, []))
+                    continue
                 out += [(doc_id, 0, None, None, "ID-007", "IDENTITY", {"x": x, "y": y, "w": w, "h": h}, MEDIUM, "", None, None, []) for x, y, w, h in boxes]
             yield pd.DataFrame(out, columns=names)
 

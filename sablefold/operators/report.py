@@ -14,8 +14,14 @@ OVERSIZE, LOW_TOKEN = 0.20, 0.60
 WARNING = "doc_id long, code string, message string, source string"
 
 
-def guard_oversized(findings: DataFrame, pages: DataFrame) -> DataFrame:
-    """Findings with ``oversized``; those above a fifth of their page become low.  Unknown pages leave them alone."""
+def guard_oversized(findings: DataFrame, pages: DataFrame | None) -> DataFrame:
+    """Findings with ``oversized``; those above a fifth of their page become low.  Unknown pages leave them alone.
+
+    Text on the grid has no page: its boxes are as exact as its characters, and a
+    secret that fills a short text is no artefact.
+    """
+    if pages is None:
+        return findings.withColumn("oversized", F.lit(False))
     size = pages.select("doc_id", "page_index", (F.col("width").cast("long") * F.col("height")).alias("_page"))
     big = F.coalesce(area(F.col("bbox")) > F.lit(OVERSIZE) * F.col("_page"), F.lit(False))
     rows = findings.join(size, ["doc_id", "page_index"], "left").withColumn("oversized", big).drop("_page")
@@ -47,8 +53,8 @@ def by_category_and_rule(findings: DataFrame) -> DataFrame:
     return findings.rollup("category", "rule_id").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs"))
 
 
-def warnings(docs: DataFrame, lines: DataFrame, guarded: DataFrame, kept: DataFrame, verbose: bool = False, style_downgraded: bool = False) -> DataFrame:
-    """All warnings, one row per document and code."""
+def warnings(docs: DataFrame, lines: DataFrame, guarded: DataFrame, kept: DataFrame, verbose: bool = False, style_downgraded: bool = False, failed: DataFrame | None = None) -> DataFrame:
+    """All warnings, one row per document and code.  ``failed``: doc_id, fatal, message."""
     row = lambda df, code, message, source: df.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(code).alias("code"), message.alias("message"), F.lit(source).alias("source"))
     read = "tokens" in lines.columns
     least = F.array_min(F.transform("tokens", lambda t: t["confidence"])) if read else F.col("confidence")
@@ -57,6 +63,9 @@ def warnings(docs: DataFrame, lines: DataFrame, guarded: DataFrame, kept: DataFr
     out = row(unsure, "W_LOW_CONFIDENCE_TOKEN", F.lit("a word was read with little confidence"), "ocr")
     out = out.union(row(big, "W_OVERSIZED_FINDING", F.concat(F.lit("findings larger than a fifth of the page were set to low: "), "ids"), "detect"))
     out = out.union(row(docs.select("doc_id").distinct().join(kept.select("doc_id").distinct(), "doc_id", "left_anti"), "W_NO_FINDINGS", F.lit("nothing was found"), "detect"))
+    if failed is not None:
+        out = out.union(row(failed.where("not fatal"), "W_DETECTOR_PARTIAL_FAILURE", F.concat(F.lit("some rules failed and others ran: "), "message"), "detect"))
+        out = out.union(row(failed.where("fatal"), "E_DETECTOR", F.concat(F.lit("no rule ran, and nothing is put out: "), "message"), "detect"))
     if verbose:
         out = out.union(row(docs.select("doc_id").distinct(), "W_VERBOSE_REPORT_ENABLED", F.lit("the report holds the matched text"), "report"))
     if style_downgraded:
@@ -86,3 +95,8 @@ def manifest(docs: DataFrame, findings: DataFrame, warning_rows: DataFrame, poli
         F.coalesce("findings", empty).alias("findings"), F.coalesce("warnings", none).alias("warnings"),
     )
     return rows.withColumn("json", F.to_json(F.struct(*[c for c in rows.columns if c != "doc_id"])))
+
+
+def header(json: Column) -> Column:
+    """A manifest's JSON as URL-safe base64, for a message header."""
+    return F.translate(F.base64(F.encode(json, "UTF-8")), "+/\r\n", "-_")

@@ -1,5 +1,8 @@
 """Images, transforms, OCR words and models that a caller brings."""
 
+import struct
+import zlib
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -9,7 +12,10 @@ from sablefold.errors import ScanError
 from sablefold.functions import geometry as g
 from sablefold.operators import model_rules
 from sablefold.operators.line_rules import RULES, line_findings
-from sablefold.operators.redact import effective_style, mask_images
+from sablefold.operators.redact import effective_style, hex_colour, initials, mask_images
+from sablefold.plans.policy import Policy, RuleRef
+from sablefold.plans.scan import Models, scan_images
+from sablefold.schema import BBOX
 from sablefold.sources import images, ocr
 from sablefold.sources.text import text_lines
 
@@ -106,9 +112,11 @@ def fake(spans):
 def test_entities(spark):
     lines = text_lines(spark.createDataFrame([(1, "call Bob at noon"), (2, "boom")], "doc_id long, text string"))
     make = fake([("Bob", "Person", 0.9), ("noon", "person", 0.7), ("call", "person", 0.4), ("at", "unknown", 0.9)])
-    rows = model_rules.entity_findings(lines, "ML-001", make).collect()
+    found = model_rules.entity_findings(lines, "ML-001", make)
+    rows = found.where(F.col("category") != model_rules.FAILED).collect()
     assert sorted((r.matched_text, r.category, r.conf_rank) for r in rows) == [("Bob", "IDENTITY", 2), ("noon", "IDENTITY", 1)]
-    assert [r.doc_id for r in model_rules.model_failures(model_rules.entities(lines, make)).collect()] == [2]
+    assert [(r.doc_id, r.fatal) for r in model_rules.failures(found, 1).collect()] == [(2, True)]
+    assert [(r.doc_id, r.fatal) for r in model_rules.failures(found, 2).collect()] == [(2, False)]
     with pytest.raises(ScanError, match="E_POLICY"):
         model_rules.entity_findings(lines, "ML-001", make, least=2)
 
@@ -124,7 +132,91 @@ def test_names_and_their_handles(spark):
 
 def test_faces(spark):
     df = spark.createDataFrame([(1, bytearray(b"a")), (2, bytearray(b""))], "doc_id long, content binary")
-    rows = model_rules.faces(df, lambda: lambda data: [(1, 2, 3, 4)] if data else []).collect()
+    found = model_rules.faces(df, lambda: lambda data: [(1, 2, 3, 4)] if data else 1 / 0)
+    rows = found.where(F.col("category") != model_rules.FAILED).collect()
+    failed = model_rules.failures(found, 3, 1).collect()
+    assert [(r.doc_id, r.fatal) for r in failed] == [(2, True)] and failed[0].message.startswith("ID-007: ZeroDivisionError")
     assert [(r.doc_id, tuple(r.bbox), r.conf_rank) for r in rows] == [(1, (1, 2, 3, 4), 1)]
     with pytest.raises(ScanError, match="E_POLICY"):
         model_rules.faces(df, lambda: None, scale_factor=1.0)
+
+
+def test_clinical_labels(spark):
+    lines = text_lines(spark.createDataFrame([(1, "call Bob at noon")], "doc_id long, text string"))
+    rows = model_rules.entity_findings(lines, "ML-002", fake([("Bob", "First_Name", 0.9), ("noon", "time", 0.7), ("call", "first name", 0.9)])).collect()
+    assert sorted((r.matched_text, r.category) for r in rows) == [("Bob", "IDENTITY"), ("noon", "IDENTITY")] and len(model_rules.CLINICAL_LABELS) == 38
+
+
+def test_colours_and_captions(spark):
+    assert hex_colour("#0a10Ff") == (10, 16, 255)
+    with pytest.raises(ScanError, match="E_POLICY"):
+        hex_colour("#12")
+    assert spark.range(1).select(initials(F.lit("CREDENTIALS")).alias("c")).first().c == "[CRE]"
+
+
+def reader():
+    class Engine:
+        def engine_id(self):
+            return "fake"
+
+        def recognise(self, image):
+            h, w, _ = images.decode_png(image).shape
+            if w == h:
+                raise ValueError("unreadable")
+            assert (w, h) == (1500, 1000)
+            words = [("to", 100, 250, 100), ("a@b.org", 250, 250, 500)]
+            return pd.DataFrame([{"page_index": 0, "block_num": 1, "par_num": 1, "line_num": 1, "word_num": i, "text": t, "x": x, "y": y, "w": w, "h": 250, "conf": "96"} for i, (t, x, y, w) in enumerate(words)])
+
+    return Engine
+
+
+def test_images_from_intake_to_masks(spark):
+    png = lambda *shape: bytearray(images.encode_png(picture(*shape)))
+    rows = [(1, png(), "image/png"), (2, png(50, 50), "image/png"), (3, png(), "image/gif"), (4, bytearray(b"\x89PNG\r\n\x1a\nbroken"), "image/png"), (5, None, "image/png")]
+    df = spark.createDataFrame(rows, "doc_id long, content binary, mime_type string")
+    face = lambda: lambda data: [(50, 30, 4, 4)]
+    policy = Policy("p", detectors=(RuleRef("CO-001"), RuleRef("ID-007")))
+    out = scan_images(df, reader(), policy, b"k", Models(faces=face))
+    assert sorted((r.doc_id, r.rule_id, tuple(r.bbox)) for r in out.findings.collect()) == [(1, "CO-001", (10, 10, 20, 10)), (1, "ID-007", (50, 30, 4, 4))]
+    got = {r.doc_id: r for r in out.masked.collect()}
+    assert set(got) == {1, 2, 3, 4, 5} and got[1].error is None and all(got[i].content is None for i in (2, 3, 4, 5))
+    assert [got[i].error.split(":")[0] for i in (2, 3, 4)] == ["E_OCR", "E_INPUT_FORMAT", "E_INPUT_FORMAT"]
+    want = picture()
+    want[8:22, 8:32] = 0
+    want[28:36, 48:56] = 0
+    assert (images.decode_png(bytes(got[1].content)) == want).all()
+    manifest = {r.doc_id: r for r in out.manifest.collect()}
+    assert manifest[1].stats.redactions_total == 2 and manifest[1].ocr_engine == "fake" and manifest[2].output_hash is None
+
+
+def test_captions(spark):
+    page = np.full((200, 400, 3), 255, np.uint8)
+    df = spark.createDataFrame([(1, bytearray(images.encode_png(page)))], "doc_id long, content binary")
+    boxes = spark.createDataFrame([(1, {"x": 10, "y": 10, "w": 300, "h": 40}, "CREDENTIALS"), (1, {"x": 10, "y": 100, "w": 60, "h": 20}, "FINANCIAL"), (1, {"x": 380, "y": 180, "w": 60, "h": 60}, "LOCATION")], f"doc_id long, bbox {BBOX}, category string")
+    got = images.decode_png(bytes(mask_images(df, boxes, "label").first().content))
+    inside = [got[10:50, 10:310], got[100:120, 10:70]]
+    assert all((a == 255).any() and (a == 0).any() for a in inside)
+    columns = lambda a: np.flatnonzero((a == 255).any(axis=(0, 2)))
+    # [CREDS] is seven characters of six columns, three pixels each; FINANCIAL has no room and becomes [FIN].
+    assert 6 * 6 * 3 < np.ptp(columns(inside[0])) < 7 * 6 * 3 and np.ptp(columns(inside[1])) < 5 * 6
+    assert (got[150:170] == 255).all()
+
+
+def test_png_filters():
+    """Rows of every filter type, against a plain undoing of them."""
+    rng = np.random.default_rng(5)
+    for channels, colour in ((1, 0), (3, 2), (4, 6)):
+        h, w = 15, 9
+        want = rng.integers(0, 256, (h, w * channels)).astype(int)
+        rows = []
+        for y in range(h):
+            up = want[y - 1] if y else np.zeros(w * channels, int)
+            left, corner = (np.concatenate([np.zeros(channels, int), r[:-channels]]) for r in (want[y], up))
+            p = left + up - corner
+            near = np.where((abs(p - left) <= abs(p - up)) & (abs(p - left) <= abs(p - corner)), left, np.where(abs(p - up) <= abs(p - corner), up, corner))
+            add = [np.zeros_like(up), left, up, (left + up) // 2, near][y % 5]
+            rows.append(bytes([y % 5]) + ((want[y] - add) % 256).astype(np.uint8).tobytes())
+        chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+        data = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, colour, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"".join(rows))) + chunk(b"IEND", b"")
+        pixels = want.reshape(h, w, channels)
+        assert (images.decode_png(data) == (np.repeat(pixels, 3, axis=2) if channels == 1 else pixels[:, :, :3])).all()
