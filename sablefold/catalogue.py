@@ -19,7 +19,7 @@ from .operators.merge import merge
 from .operators.words import COMMON_FAMILY, COMMON_GIVEN, COUNTRIES, FAMILY, GIVEN, HONORIFICS, STOP
 from .plans.policy import Policy, RuleRef, custom, default_policy
 from .plans.scan import kept_findings, raw_findings
-from .sources.text import page_sizes, text_lines, tokens
+from .sources.text import text_lines, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -282,41 +282,37 @@ def findings_per_document(spark, sf_dir):
     return raw_findings(_documents(spark, sf_dir), _THREE).groupBy("doc_id").agg(F.count("*").alias("n"), F.countDistinct("rule_id").alias("rules"))
 
 
-def _all_boxes(spark, sf_dir):
+def _boxes(spark, sf_dir):
     """Findings made from line items: 24 high, in rows 30 apart."""
     b = g.box(F.col("l_extendedprice") % 900, F.lit(10) + 30 * (F.col("l_linenumber") % 3), F.lit(20) + F.col("l_quantity") * 3, F.lit(24))
     return _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.lit(0).alias("page_index"), F.lit("b").alias("block_id"), F.col("l_linenumber").alias("line_no"), F.concat(F.lit("CO-00"), (F.col("l_linenumber") % 3 + 1).cast("string")).alias("rule_id"), F.lit("CONTACT").alias("category"), b.alias("bbox"), (F.col("l_suppkey") % 3).cast("tinyint").alias("conf_rank"), F.lit("x").alias("matched_text"), F.lit(0).alias("char_start"), F.lit(1).alias("char_end"), F.array().cast("array<string>").alias("merged_from"))
 
 
-def _boxes(spark, sf_dir):
-    """Those of even orders, as the statements of the six queries below ask; the queries ``..._whole`` take all."""
-    return _all_boxes(spark, sf_dir).where("doc_id % 2 = 0")
-
-
-_BOXES = "SELECT l_orderkey AS doc_id, CAST(trunc(l_extendedprice % 900) AS bigint) AS x, CAST(10 + 30 * (l_linenumber % 3) AS bigint) AS y, CAST(20 + l_quantity * 3 AS bigint) AS w, CAST(l_suppkey % 3 AS bigint) AS r FROM lineitem WHERE l_orderkey % 2 = 0"
+_BOXES = "SELECT l_orderkey AS doc_id, CAST(trunc(l_extendedprice % 900) AS bigint) AS x, CAST(10 + 30 * (l_linenumber % 3) AS bigint) AS y, CAST(20 + l_quantity * 3 AS bigint) AS w, CAST(l_suppkey % 3 AS bigint) AS r FROM lineitem"
 
 
 @query(f"""WITH b AS ({_BOXES}), o AS (SELECT *, max(x + w) OVER (PARTITION BY doc_id, y ORDER BY x, w, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach, row_number() OVER (PARTITION BY doc_id, y ORDER BY x, w, r) AS k FROM b),
   i AS (SELECT *, sum(CASE WHEN reach IS NULL OR x > reach + 8 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, y ORDER BY k) AS island FROM o)
   SELECT doc_id, y, min(x) AS x, max(x + w) - min(x) AS w, max(r) AS conf_rank FROM i GROUP BY doc_id, y, island""")
-def merge_islands(spark, sf_dir, boxes=_boxes):
-    m = merge(boxes(spark, sf_dir))
+def merge_islands(spark, sf_dir):
+    m = merge(_boxes(spark, sf_dir))
     return m.select("doc_id", *[F.col(f"bbox.{c}").cast("long").alias(c) for c in "yxw"], F.col("conf_rank").cast("long").alias("conf_rank"))
 
 
-@query(f"WITH b AS ({_BOXES}) SELECT doc_id, x, y, w, w * 24 > 0.2 * 30000 AS oversized, CASE WHEN w * 24 > 0.2 * 30000 THEN 0 ELSE r END AS conf_rank FROM b WHERE r < 2")
-def guard_oversized(spark, sf_dir, boxes=lambda *a: _boxes(*a).where("conf_rank < 2"), width=300):
-    pages = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit(0).alias("page_index"), F.lit(width).alias("width"), F.lit(100).alias("height"))
-    return report.guard_oversized(boxes(spark, sf_dir), pages).select("doc_id", *[F.col(f"bbox.{c}").cast("long").alias(c) for c in "xyw"], "oversized", F.col("conf_rank").cast("long").alias("conf_rank"))
+@query(f"WITH b AS ({_BOXES}) SELECT doc_id, x, y, w, w * 24 > 0.2 * 15000 AS oversized, CASE WHEN w * 24 > 0.2 * 15000 THEN 0 ELSE r END AS conf_rank FROM b")
+def guard_oversized(spark, sf_dir):
+    """Pages of 150 by 100: boxes wider than 125 are oversized, whatever their rank."""
+    pages = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit(0).alias("page_index"), F.lit(150).alias("width"), F.lit(100).alias("height"))
+    return report.guard_oversized(_boxes(spark, sf_dir), pages).select("doc_id", *[F.col(f"bbox.{c}").cast("long").alias(c) for c in "xyw"], "oversized", F.col("conf_rank").cast("long").alias("conf_rank"))
 
 
 def _threshold_query(posture: str, least: int) -> None:
-    def run(spark, sf_dir, boxes=_boxes):
+    def run(spark, sf_dir):
         ranks = _policy("CO-001", "CO-002=medium", "CO-003=high", posture=posture).ranks()
-        return report.apply_thresholds(boxes(spark, sf_dir), ranks).groupBy("rule_id", F.col("conf_rank").cast("long").alias("conf_rank")).agg(F.count("*").alias("n"))
+        return report.apply_thresholds(_boxes(spark, sf_dir), ranks).groupBy("rule_id", F.col("conf_rank").cast("long").alias("conf_rank")).agg(F.count("*").alias("n"))
 
     run.__name__ = f"threshold_{posture}"
-    query(f"SELECT 'CO-00' || CAST(l_linenumber % 3 + 1 AS varchar) AS rule_id, CAST(l_suppkey % 3 AS bigint) AS conf_rank, count(*) AS n FROM lineitem WHERE l_orderkey % 2 = 0 AND l_suppkey % 3 >= least(2, l_linenumber % 3 + {least}) GROUP BY 1, 2")(run)
+    query(f"SELECT 'CO-00' || CAST(l_linenumber % 3 + 1 AS varchar) AS rule_id, CAST(l_suppkey % 3 AS bigint) AS conf_rank, count(*) AS n FROM lineitem WHERE l_suppkey % 3 >= least(2, l_linenumber % 3 + {least}) GROUP BY 1, 2")(run)
 
 
 _threshold_query("strict", 0)
@@ -333,16 +329,16 @@ def stats_rollup(spark, sf_dir):
     return report.by_category_and_rule(raw_findings(_documents(spark, sf_dir), _THREE))
 
 
-@query(f"WITH b AS (SELECT l_orderkey AS doc_id, 'CO-00' || CAST(l_linenumber % 3 + 1 AS varchar) AS rule_id, CAST(trunc(l_extendedprice % 900) AS bigint) AS x, CAST(10 + 30 * (l_linenumber % 3) AS bigint) AS y, CAST(20 + l_quantity * 3 AS bigint) AS w FROM lineitem WHERE l_orderkey % 2 = 0) SELECT doc_id, 'f-' || rule_id || '-' || CAST(row_number() OVER (PARTITION BY doc_id, rule_id ORDER BY y, x, w) - 1 AS varchar) AS finding_id, x, y, w FROM b")
-def finding_numbering(spark, sf_dir, boxes=_boxes):
-    return report.numbered(boxes(spark, sf_dir)).select("doc_id", "finding_id", *[F.col(f"bbox.{c}").cast("long").alias(c) for c in "xyw"])
+@query(f"WITH b AS (SELECT l_orderkey AS doc_id, 'CO-00' || CAST(l_linenumber % 3 + 1 AS varchar) AS rule_id, CAST(trunc(l_extendedprice % 900) AS bigint) AS x, CAST(10 + 30 * (l_linenumber % 3) AS bigint) AS y, CAST(20 + l_quantity * 3 AS bigint) AS w FROM lineitem) SELECT doc_id, 'f-' || rule_id || '-' || CAST(row_number() OVER (PARTITION BY doc_id, rule_id ORDER BY y, x, w) - 1 AS varchar) AS finding_id, x, y, w FROM b")
+def finding_numbering(spark, sf_dir):
+    return report.numbered(_boxes(spark, sf_dir)).select("doc_id", "finding_id", *[F.col(f"bbox.{c}").cast("long").alias(c) for c in "xyw"])
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM (" + _UNION + ") u)")
 def warnings_no_findings(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
     lines = text_lines(docs)
-    guarded, kept = kept_findings(lines, page_sizes(docs), _THREE)
+    guarded, kept = kept_findings(lines, None, _THREE)
     return report.warnings(docs, lines, guarded, kept).where("code = 'W_NO_FINDINGS'").select("doc_id")
 
 
@@ -406,41 +402,21 @@ def labels_join_pii_rate(spark, sf_dir):
 
 
 @query(f"WITH b AS ({_BOXES}) SELECT doc_id, x, y, w, CAST(round_even(x * 0.5, 0) AS bigint) AS px, CAST(round_even(y * 0.25, 0) AS bigint) AS py, greatest(CAST(round_even((x + w) * 0.5, 0) AS bigint) - CAST(round_even(x * 0.5, 0) AS bigint), 1) AS pw, greatest(CAST(round_even((y + 24) * 0.25, 0) AS bigint) - CAST(round_even(y * 0.25, 0) AS bigint), 1) AS ph FROM b")
-def affine_project(spark, sf_dir, boxes=_boxes):
+def affine_project(spark, sf_dir):
     back = g.inverse(g.scale(F.lit(2.0), F.lit(4.0)))
-    b = boxes(spark, sf_dir).select("doc_id", "bbox", g.project(back, F.col("bbox")).alias("p"))
+    b = _boxes(spark, sf_dir).select("doc_id", "bbox", g.project(back, F.col("bbox")).alias("p"))
     return b.select("doc_id", *[F.col(f"bbox.{c}").cast("long").alias(c) for c in "xyw"], *[F.col(f"p.{c}").cast("long").alias(f"p{c}") for c in "xywh"])
 
 
-def _whole(name: str, **options) -> None:
-    """The query over all of lineitem, every rank included; its statement is the other's without the filters.
-
-    Pages of guard_oversized are 300 wide, where no box is oversized; here they are 150 wide, so boxes above 125 are.
-    """
-    part = QUERIES[name]
-
-    def run(spark, sf_dir):
-        return part(spark, sf_dir, _all_boxes, **options)
-
-    run.__name__ = f"{name}_whole"
-    sql = ORACLES[name].replace("WHERE l_orderkey % 2 = 0 AND ", "WHERE ").replace(" WHERE l_orderkey % 2 = 0", "")
-    query(sql.replace(" FROM b WHERE r < 2", " FROM b").replace("0.2 * 30000", "0.2 * 15000"))(run)
-
-
-for _name in ("merge_islands", "threshold_strict", "threshold_lenient", "finding_numbering", "affine_project"):
-    _whole(_name)
-_whole("guard_oversized", width=150)
-
-
 @query(None)
 def default_policy_findings(spark, sf_dir):
     """The flagship: the default policy over documents, merged, guarded and kept by threshold."""
     docs = _table(spark, sf_dir, "documents")
-    return _flat(kept_findings(text_lines(docs), page_sizes(docs), default_policy())[1])
+    return _flat(kept_findings(text_lines(docs), None, default_policy())[1])
 
 
 @query(None)
 def labelled_default_policy(spark, sf_dir):
     """The same over the labelled corpus, where every rule finds something."""
     docs = labelled(spark, sf_dir)
-    return _flat(kept_findings(text_lines(docs), page_sizes(docs), default_policy().with_rules(RuleRef("HE-002"), RuleRef("HE-003")))[1])
+    return _flat(kept_findings(text_lines(docs), None, default_policy().with_rules(RuleRef("HE-002"), RuleRef("HE-003")))[1])
