@@ -47,7 +47,7 @@ from .words import U, mix, shingles, slabs, sorted_sets, sums_by, word_hashes, w
 WIDTH, PERCENT = 5, 75
 RATIO = 1.125  # of the largest to the smallest size of a band
 CHUNK = 1 << 20  # shingles that one block of the counting pass holds
-BUCKET = 4 << 20  # shingles that one task of the counting pass reads, about
+BUCKET = 2 << 20  # shingles that one task of the counting pass reads, about
 FIRST = 8  # one signature in so many counts in the first round; the second round has them all
 FILTER_BITS = 25
 BLOCK = 512  # classes of a star that meet with as many others at a time
@@ -166,22 +166,27 @@ def shared_counts(docs: DataFrame, total: int, width: int = WIDTH) -> DataFrame:
         if sets:
             uniq, code = np.unique(np.concatenate(sets), return_inverse=True)
             # A shingle without a set is one of a set unlike all others.
-            owner = np.concatenate([np.repeat(code, np.concatenate(runs)), np.full(sum(map(len, free)), len(uniq))])
+            owner = np.concatenate([np.repeat(code.astype(np.uint32), np.concatenate(runs)), np.full(sum(map(len, free)), len(uniq), np.uint32)])
             s = np.concatenate([*hashes, *free])
-            order = np.lexsort((owner, s)) if len(uniq) >> 24 else None
-            if order is None:
-                both = np.sort(s << U(24) | owner.astype(U))
-                s, c = both >> U(24), (both & U((1 << 24) - 1)).astype(np.int64)
+            del sets, runs, hashes, free, code
+            if len(uniq) >> 24:
+                order = np.lexsort((owner, s))
+                s, owner = s[order], owner[order]
             else:
-                s, c = s[order], owner[order]
-            first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+                s <<= U(24)
+                s |= owner
+                s.sort()
+                owner = (s & U((1 << 24) - 1)).astype(np.uint32)
+                s >>= U(24)
+            new = np.concatenate([[True], s[1:] != s[:-1]])
+            first = np.flatnonzero(new)
             last = np.append(first[1:], len(s)) - 1
             # Shared: the smallest and the largest set of the run differ, or the run has entries without a set.
-            mixed = (c[first] != c[last]) | (c[last] == len(uniq))
-            run = np.repeat(mixed, last - first + 1)
-            once = np.ones(len(s), bool)
-            once[1:] = (s[1:] != s[:-1]) | (c[1:] != c[:-1])
-            found = np.bincount(c[run & once], minlength=len(uniq) + 1)[:-1]
+            mixed = (owner[first] != owner[last]) | (owner[last] == len(uniq))
+            del s
+            new[1:] |= owner[1:] != owner[:-1]
+            new &= np.repeat(mixed, last - first + 1)
+            found = np.bincount(owner[new], minlength=len(uniq) + 1)[:-1]
             out += parts(uniq[found > 0], found[found > 0], False)
         return pa.Table.from_pylist(out, schema=part_schema)
 
