@@ -12,13 +12,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from sablefold import logs
+from sablefold.catalogue import labelled
 from sablefold.errors import ScanError
 from sablefold.operators import report
 from sablefold.operators.line_rules import custom_rule, line_findings
 from sablefold.operators.redact import masked_lines, masked_texts
 from sablefold.plans.policy import Policy, RuleRef, default_policy, frame, load, parse
 from sablefold.plans.registry import register, unregister
-from sablefold.plans.scan import Models, raw_findings, scan
+from sablefold.plans.scan import Looked, Models, raw_findings, scan
 from sablefold.schema import FINDINGS
 from sablefold.sources.text import text_lines
 
@@ -197,3 +198,14 @@ def test_header(spark):
     text = "ÿ?>~" * 40
     got = spark.createDataFrame([(text,)], "j string").select(report.header(F.col("j")).alias("h")).first().h
     assert base64.urlsafe_b64decode(got).decode() == text and "\n" not in got
+
+
+def test_candidates_give_what_all_lines_give(spark, sf_dir, monkeypatch):
+    """Each rule over the lines that pass a gate, against the same rules over every line."""
+    extra = ["Address\nPlain Words Here\nSpringfield, IL 62704", "12 Baker Street\n\nfrance", "-----BEGIN EC PRIVATE KEY-----\nplain words\n\nmore", "Address\n9 High Road", "Born\n\n1/2/1990"]
+    docs = labelled(spark, sf_dir).where("doc_id <= 36").unionByName(spark.createDataFrame([(1000 + i, t) for i, t in enumerate(extra)], "doc_id long, text string"))
+    policy = default_policy().with_rules(RuleRef("HE-002"), RuleRef("HE-003"))
+    rows = lambda: sorted(map(str, raw_findings(text_lines(docs), policy).collect()))
+    got = rows()
+    monkeypatch.setattr("sablefold.plans.scan._look", lambda lines, gates, ids: Looked(lines, lines))
+    assert got == rows() and len(got) > 50
