@@ -151,10 +151,13 @@ def cu_001_custom(spark, sf_dir):
     return _flat(line_rules.line_findings(_labelled(spark, sf_dir), [rule]))
 
 
-def _label_oracle(rule: str, label: str, value: str, lines: int, rank: int, keep: str, once: bool) -> str:
+def _label_oracle(rule: str, label: str, value: str, lines: int, rank: int, keep: str, once: bool, source: str = _CORPUS) -> str:
     """First value on the label's line, behind the label, or on the next few lines."""
     per = "" if once else ", line_no"
-    return f"""{_CORPUS}, l AS (SELECT doc_id, line_no AS label_line, regexp_extract(line, '^.*?{label}(.*)$', 1) AS tail FROM lines WHERE regexp_matches(line, '{label}')),
+    # Word ends as letters of any alphabet have them; the ASCII boundary of RE2 would not do.
+    word = label.removeprefix(r"(?i:\b").removesuffix(r"\b)")
+    whole = rf"^(?:.*?[^\p{{L}}\p{{N}}_])??(?i:{word})((?:[^\p{{L}}\p{{N}}_].*)?)$"
+    return f"""{source}, l AS (SELECT doc_id, line_no AS label_line, regexp_extract(line, '{whole}', 1) AS tail FROM lines WHERE regexp_matches(line, '{whole}')),
     c AS (SELECT l.doc_id, label_line, c.line_no, CASE WHEN c.line_no = label_line THEN tail ELSE line END AS part FROM l JOIN lines c ON c.doc_id = l.doc_id AND c.line_no BETWEEN label_line AND label_line + {lines}),
     m AS (SELECT *, unnest(regexp_extract_all(part, '{value}')) AS m, generate_subscripts(regexp_extract_all(part, '{value}'), 1) AS k FROM c),
     f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, label_line{per} ORDER BY line_no, k) AS r FROM m WHERE {keep})
@@ -172,14 +175,18 @@ def _label_query(name: str, rule: str, oracle: str) -> None:
     query(oracle)(run)
 
 
-_label_query("id_003_government_id", "ID-003", _label_oracle("ID-003", r"(?i:\b(?:SSN|Social Security|National ID|NIN|Aadhaar|PAN|Tax ID|TIN|EIN)\b)", r"[0-9][0-9\s\-]{5,19}", 2, 2, _SIX, True))
-_label_query("id_004_passport", "ID-004", _label_oracle("ID-004", r"(?i:\bPassport(?:\s*(?:No|Number))?\b)", r"\b(?:[A-Z][0-9]{8}|[A-Z]{2}[0-9]{7})\b", 2, 2, "TRUE", True))
-_label_query("id_005_licence", "ID-005", _label_oracle("ID-005", r"(?i:\b(?:DL|DLN|Driver|License|Licence)\b)", r"\b[A-Z0-9]{6,14}\b", 2, 1, "regexp_matches(m, '[A-Z]') AND regexp_matches(m, '[0-9]')", False))
-_label_query("he_001_mrn", "HE-001", _label_oracle("HE-001", r"(?i:\b(?:MRN|Medical Record|Patient ID|Chart No)\b)", r"\b[A-Z0-9\-]{4,16}\b", 4, 2, "length(regexp_replace(m, '[^0-9]', '', 'g')) >= 3", False))
-_label_query("fi_003_account", "FI-003", _label_oracle("FI-003", r"(?i:\b(?:Account|A/C|Acct(?:\s*No\.?)?)\b)", r"[0-9][0-9\s\-]{5,19}", 4, 1, _SIX + " AND NOT (length(regexp_replace(m, '[^0-9]', '', 'g')) BETWEEN 13 AND 19 AND (SELECT " + _LUHN + " FROM (SELECT regexp_replace(m, '[^0-9]', '', 'g') AS d) z))", False))
+_LABEL_ARGUMENTS = {
+    "id_003_government_id": ("ID-003", r"(?i:\b(?:SSN|Social Security|National ID|NIN|Aadhaar|PAN|Tax ID|TIN|EIN)\b)", r"[0-9][0-9\s\-]{5,19}", 2, 2, _SIX, True),
+    "id_004_passport": ("ID-004", r"(?i:\bPassport(?:\s*(?:No|Number))?\b)", r"\b(?:[A-Z][0-9]{8}|[A-Z]{2}[0-9]{7})\b", 2, 2, "TRUE", True),
+    "id_005_licence": ("ID-005", r"(?i:\b(?:DL|DLN|Driver|License|Licence)\b)", r"\b[A-Z0-9]{6,14}\b", 2, 1, "regexp_matches(m, '[A-Z]') AND regexp_matches(m, '[0-9]')", False),
+    "he_001_mrn": ("HE-001", r"(?i:\b(?:MRN|Medical Record|Patient ID|Chart No)\b)", r"\b[A-Z0-9\-]{4,16}\b", 4, 2, "length(regexp_replace(m, '[^0-9]', '', 'g')) >= 3", False),
+    "fi_003_account": ("FI-003", r"(?i:\b(?:Account|A/C|Acct(?:\s*No\.?)?)\b)", r"[0-9][0-9\s\-]{5,19}", 4, 1, _SIX + " AND NOT (length(regexp_replace(m, '[^0-9]', '', 'g')) BETWEEN 13 AND 19 AND (SELECT " + _LUHN + " FROM (SELECT regexp_replace(m, '[^0-9]', '', 'g') AS d) z))", False),
+}
+for _name, _arguments in _LABEL_ARGUMENTS.items():
+    _label_query(_name, _arguments[0], _label_oracle(*_arguments))
 
 
-@query(None)
+@query(" UNION ALL ".join(f"SELECT * FROM ({_label_oracle(*a, _DOCS)}) r{i}" for i, a in enumerate(_LABEL_ARGUMENTS.values())))
 def label_join_range(spark, sf_dir):
     """All label rules through their one join, over documents."""
     return _flat(label_rules.label_findings(_documents(spark, sf_dir), list(label_rules.RULES.values())))
