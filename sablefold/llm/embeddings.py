@@ -6,13 +6,14 @@ share a bucket are compared exactly, in double precision.  A pair that meets in
 several tables is counted in the first of them only, so no list of pairs is
 ever built: a bucket yields link counts and a spanning forest of its links.
 Buckets beyond ``block`` classes are split into blocks, and each pair of blocks
-is a task of its own.
+is a piece of work; a task takes pieces of about ``PER_TASK`` vectors in all.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from .components import components, forest
 from .session import cut, prepare
 
-NEAR = 0.95
+NEAR, PER_TASK = 0.95, 8_000
 
 
 def plan(n: int, threshold: float, miss: float, per_bucket: int = 64) -> tuple[int, int]:
@@ -32,6 +33,12 @@ def plan(n: int, threshold: float, miss: float, per_bucket: int = 64) -> tuple[i
     return bits, math.ceil(math.log(miss) / math.log(1 - meet))
 
 
+@cache
+def planes(seed: int, dim: int, n: int) -> np.ndarray:
+    """Normals of ``n`` random hyperplanes, drawn once per worker."""
+    return np.random.default_rng([seed, dim]).standard_normal((dim, n))
+
+
 def near_embeddings(vectors: DataFrame, threshold: float = NEAR, miss: float = 1e-5, block: int = 1024, seed: int = 29) -> DataFrame:
     """One row per row of ``vectors(vec_id, embedding)``: vec_id, n_links, component_id, kept.
 
@@ -48,14 +55,11 @@ def near_embeddings(vectors: DataFrame, threshold: float = NEAR, miss: float = 1
     n = classes.count()
     bits, tables = plan(n, threshold, miss)
 
-    def planes(dim: int) -> np.ndarray:
-        return np.random.default_rng([seed, dim]).standard_normal((dim, tables * bits))
-
     def unit(rows: pd.Series) -> tuple[np.ndarray, np.ndarray]:
         x = np.array(rows.tolist(), dtype=np.float64)
         x = x / np.abs(x).max(axis=1, keepdims=True)
         x = x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
-        signs = ((x @ planes(x.shape[1])) >= 0).reshape(len(x), tables, bits)
+        signs = ((x @ planes(seed, x.shape[1], tables * bits)) >= 0).reshape(len(x), tables, bits)
         return x, signs @ (1 << np.arange(bits, dtype=np.int64))
 
     def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -71,15 +75,30 @@ def near_embeddings(vectors: DataFrame, threshold: float = NEAR, miss: float = 1
     spread = codes.join(sizes, keys).withColumn("parts", parts).withColumn("mine", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
     # block pair (lo, hi): a class goes to every pair that has its block
     tasks = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("lo", F.least("mine", "other")).withColumn("hi", F.greatest("mine", "other"))
-    tasks = tasks.select("cls", *keys, "lo", "hi", (F.col("mine") == F.col("lo")).alias("left")).join(classes, "cls")
+    tasks = tasks.select("cls", *keys, "lo", "hi", (F.col("mine") == F.col("lo")).alias("left"))
+
+    tasks = cut(tasks)
+    some = max(1, tasks.count() // PER_TASK)
+    tasks = tasks.withColumn("task", F.pmod(F.xxhash64(*keys, "lo", "hi"), F.lit(some)).cast("int")).join(classes, "cls")
 
-    def bucket(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values("cls", ignore_index=True)
+    def buckets(b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values(["tab", "code", "lo", "hi", "cls"], ignore_index=True)
         x, codes = unit(b["embedding"])
-        weight = b["weight"].to_numpy()
-        tab, same = key[1], key[3] == key[4]
-        left = np.arange(len(b)) if same else np.flatnonzero(b["left"].to_numpy())
-        right = left if same else np.flatnonzero(~b["left"].to_numpy())
+        piece = b[["tab", "code", "lo", "hi"]].to_numpy()
+        edges = np.flatnonzero(np.concatenate([[True], (piece[1:] != piece[:-1]).any(axis=1), [True]]))
+        weight, is_left, ids = b["weight"].to_numpy(), b["left"].to_numpy(), b["cls"].to_numpy()
+        out = []
+        for i, j in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            tab, _, lo, hi = piece[i]
+            links, root = linked(x[i:j], codes[i:j, :tab], weight[i:j], np.ones(j - i, bool) if lo == hi else is_left[i:j], lo == hi)
+            found = np.flatnonzero(links)
+            out.append((ids[i:j][found], links[found].astype(np.int64), ids[i:j][root[found]]))
+        return pd.DataFrame({c: np.concatenate(v) for c, v in zip(("cls", "links", "root"), zip(*out))})
+
+    def linked(x: np.ndarray, earlier: np.ndarray, weight: np.ndarray, is_left: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Links of each vector that met in no earlier table, and the first vector that links reach."""
+        left = np.flatnonzero(is_left)
+        right = left if same else np.flatnonzero(~is_left)
         hits_a, hits_b = [], []
         for i in range(0, len(left), 512):
             some = left[i : i + 512]
@@ -87,20 +106,17 @@ def near_embeddings(vectors: DataFrame, threshold: float = NEAR, miss: float = 1
             p, q = some[p], right[q]
             if same:
                 p, q = p[p < q], q[p < q]
-            if tab and len(p):
-                first = ~(codes[p, :tab] == codes[q, :tab]).any(axis=1)
+            if earlier.shape[1] and len(p):
+                first = ~(earlier[p] == earlier[q]).any(axis=1)
                 p, q = p[first], q[first]
             exact = np.einsum("ij,ij->i", x[p], x[q]) >= threshold
             hits_a.append(p[exact])
             hits_b.append(q[exact])
         p, q = np.concatenate(hits_a or [[]]).astype(int), np.concatenate(hits_b or [[]]).astype(int)
-        links = np.bincount(p, weight[q], len(b)) + np.bincount(q, weight[p], len(b))
-        found = links > 0
-        root = forest(len(b), p, q)
-        ids = b["cls"].to_numpy()
-        return pd.DataFrame({"cls": ids[found], "links": links[found].astype(np.int64), "root": ids[root[found]]})
+        links = np.bincount(p, weight[q], len(x)) + np.bincount(q, weight[p], len(x))
+        return links, forest(len(x), p, q)
 
-    found = cut(tasks.groupBy(*keys, "lo", "hi").applyInPandas(bucket, "cls long, links long, root long"))
+    found = cut(tasks.groupBy("dim", "task").applyInPandas(buckets, "cls long, links long, root long"))
     links = found.groupBy("cls").agg(F.sum("links").alias("links"))
     linked = components(found.select(F.col("cls").alias("u"), F.col("root").alias("v"))).withColumnRenamed("node", "cls")
     about = classes.join(links, "cls", "left").join(linked, "cls", "left").select("embedding", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "cls").alias("component_id"))
