@@ -8,6 +8,8 @@ and single lines are looked up, always entire.  Built-in expressions only.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -153,13 +155,16 @@ def scan(docs: DataFrame, known: list[tuple[str, str]] = KNOWN) -> DataFrame:
 
     ``scope`` is the widest in which the licence was found; ``hits`` counts the
     places in that scope.  Rows that repeat a doc_id add up; null doc_ids are
-    one document.  Null and empty texts hold nothing.
+    one document.  Null and empty texts hold nothing.  Texts without a word of
+    ``ANCHORS`` are left out early, unless a known text has none either.
     """
     spark = docs.sparkSession
-    marked = docs.select("doc_id", "text").where(F.lower("text").rlike(ANCHORS))
+    anchored = all(re.search(ANCHORS, text.lower()) for _, text in known)
+    likely = lambda c: F.lower(c).rlike(ANCHORS) if anchored else F.col(c).isNotNull()
+    marked = docs.select("doc_id", "text").where(likely("text"))
     unit = lambda level, parts: F.transform(parts, lambda p: F.struct(F.lit(level).alias("level"), p.alias("part")))
     units = F.concat(unit(0, F.array("text")), unit(1, F.split("text", r"\n[\x20\x09]*\n")), unit(2, F.split("text", r"\n")))
-    parts = marked.select("doc_id", F.explode(units).alias("u")).where(F.lower("u.part").rlike(ANCHORS))
+    parts = marked.select("doc_id", F.explode(units).alias("u")).where(likely("u.part"))
     found = parts.select("doc_id", "u.level", F.sha2(canonical(F.col("u.part")), 256).alias("digest")).join(F.broadcast(digests(spark, known)), "digest")
     counted = found.groupBy("doc_id", "license_id", "level").agg(F.count("*").alias("hits"))
     top = counted.groupBy("doc_id", "license_id").agg(F.min(F.struct("level", "hits")).alias("top"))

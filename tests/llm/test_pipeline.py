@@ -159,3 +159,10 @@ def test_more_licences(spark):
     got = {(r.doc_id, r.license_id): r.scope for r in licences.scan(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()}
     shared = {(1, "BSD"): "paragraph", (2, "BSD"): "paragraph"}
     assert got == {(i, want): scope for i, _, (want, scope) in rows} | shared
+
+
+def test_known_texts_of_a_caller(spark):
+    """A text without any of the usual words is found when a caller asks for it; null, empty and other texts aren't."""
+    rows = [(1, "Do what you want with this code!"), (2, "intro\n\nDO WHAT YOU WANT\nwith this code\n\nend"), (3, None), (4, ""), (5, "do what you want")]
+    got = licences.scan(spark.createDataFrame(rows, "doc_id long, text string"), [("WTFPL", "Do what you want with this code.")]).collect()
+    assert sorted((r.doc_id, r.license_id, r.scope) for r in got) == [(1, "WTFPL", "text"), (2, "WTFPL", "paragraph")]
