@@ -1,11 +1,13 @@
 """Token ids: encoding, the store, packing, mixing."""
 
 import random
+import struct
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from helpers import EDGES, WORD, documents, empty
 from pyspark.sql import functions as F
 
@@ -201,6 +203,37 @@ def test_mixing(spark):
     assert again == {i: r.taken for i, r in got.items()}
 
 
+def signed(h):
+    return h - (1 << 64) if h >= 1 << 63 else h
+
+
+def test_mixing_takes_what_a_plain_queue_takes(spark):
+    """Every pass of every document in one list, sorted by virtual finish time, taken up to the budget."""
+    rng = random.Random(11)
+    rows = [(i, " ".join("w" for _ in range(rng.randint(0, 40))), rng.choice(["a", "b", "c", None, "d", "d", "d"])) for i in range(300)]
+    got = {r.doc_id: r.taken for r in mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    sizes = {}
+    for _, t, s in rows:
+        sizes[s] = sizes.get(s, 0) + len(t.split())
+    target = water(sizes)
+    queue, so_far = [], dict.fromkeys(sizes, 0)
+    places = []
+    for i, t, s in rows:
+        tie = signed(xxhash.xxh64_intdigest(t.encode(), 42))
+        h = xxhash.xxh64_intdigest((17).to_bytes(4, "little"), 42)
+        for x in (i, tie):
+            h = xxhash.xxh64_intdigest(struct.pack("<q", x), h)
+        places.append((signed(h), i, tie, len(t.split()), s))
+    for place, i, tie, n, s in sorted(places):
+        so_far[s] += n
+        queue += [((so_far[s] + k * sizes[s]) / target[s], place, i, tie, n) for k in (0, 1) if n]
+    left, want = int(1.5 * sum(sizes.values())), dict.fromkeys(got, 0)
+    for _, _, i, _, n in sorted(queue):
+        want[i] += min(n, left)
+        left -= min(n, left)
+    assert got == want
+
+
 def test_mixing_edges(spark):
     rows = mix_sources(documents(spark)).collect()
     assert len(rows) == len(EDGES) and all(r.taken <= 2 * r.size for r in rows)
